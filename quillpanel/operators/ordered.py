@@ -35,7 +35,7 @@ def ordered_totals(
 ) -> DataFrame:
     """One row per distinct non-missing ``value`` (inside each ``by`` group).
 
-    For each measure ``m`` (default ``n``, the row count): ``m`` at this value,
+    For each measure ``m`` (counts; by default ``n``, the rows): ``m`` at this value,
     ``m_before`` over all smaller values and ``m_all`` over the whole group.  ``by`` must
     have few groups (metrics, classes); the values may be as many as they like.
     """

@@ -87,6 +87,7 @@ def customer_panel(spark: SparkSession, folder: str, first: int = FIRST_PERIOD,
         F.col("orders").alias("population"),
         percent_of(F.col("returned"), F.col("lines")).alias("fossil_pct"),
         percent_of(F.col("open"), F.col("lines")).alias("renewable_pct"),
+        *[(F.col(s) / 1e6).alias(s) for s in SECTORS],
     )
     return _growth(grid.join(metrics, ["entity", "period"], "left"))
 
