@@ -186,6 +186,12 @@ def log_slope(df: DataFrame, y: str, x: str, by: str | None = None) -> DataFrame
     )
 
 
+def line_model(slope: DataFrame, feature: str) -> LinearModel:
+    """The one-feature model of an ungrouped :func:`log_slope`, whose single row comes to the driver."""
+    fit = slope.first()
+    return LinearModel([feature], [fit["slope"]], [fit["coef_standardised"]], fit["intercept"], 0.0, [])
+
+
 def shock_response(beta: Column, factor: Column) -> dict[str, Column]:
     """Closed form for a relative shock: multiplier, % change, the linear approximation and its error."""
     exact = (F.pow(factor, beta) - 1) * 100
@@ -238,13 +244,16 @@ def with_category(coefficients: DataFrame, categories: dict[str, list[str]]) ->
     return coefficients.join(F.broadcast(table), "feature", "left")  # a short fixed list
 
 
-def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / population deviation, both taken from ``fit_on``; NULL for a constant column."""
+def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, suffix: str = "") -> DataFrame:
+    """(x - mean) / population deviation, both taken from ``fit_on``; NULL for a constant column.
+
+    With a ``suffix`` the standardised columns are added beside the originals.
+    """
     fitted = (df if fit_on is None else fit_on).agg(
         F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).alias("f")
     ).scalar()
     return (
         df.withColumn("_fit", fitted)
-        .withColumns({c: ratio(F.col(c) - F.col("_fit")[c]["m"], F.col("_fit")[c]["s"]) for c in columns})
+        .withColumns({c + suffix: ratio(F.col(c) - F.col("_fit")[c]["m"], F.col("_fit")[c]["s"]) for c in columns})
         .drop("_fit")
     )

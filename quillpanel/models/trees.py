@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillpanel import fixed_values as V
@@ -26,6 +26,12 @@ CLASSIFIERS = ["Random Forest", "Gradient Boosting", "Logistic Regression"]
 TREE_MEMORY_MB = 1024  # more tree nodes per pass over the data
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Training rows over all cores: a small stored table may sit in a single file."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def _assembled(features: list[str], estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator])
 
@@ -38,15 +44,17 @@ def fit_forest_regression(df: DataFrame, features: list[str], label: str, **sett
         maxMemoryInMB=TREE_MEMORY_MB,
         **{**FOREST_REGRESSION, **settings},
     )
-    return _assembled(features, estimator).fit(df)
+    return _assembled(features, estimator).fit(spread(df))
 
 
 def classifier(name: str, features: list[str], label: str, weight: str, n_rows: int, **settings) -> Pipeline:
     """One of :data:`CLASSIFIERS`, unfitted.
 
     The forest and the logistic model take the row weights (balanced classes), the boosted
-    trees do not.  The logistic penalty 1/C on the summed loss is 1/(C n) on the mean loss
-    that the estimator uses, as balanced weights add up to n; it scales features itself.
+    trees do not.  The logistic model wants features standardised on the training rows
+    (:func:`quillpanel.models.linear.standardise`); the estimator's own scaling would use
+    the row weights.  Its penalty 1/C on the summed loss is 1/(C n) on the mean loss that
+    the estimator minimises, as balanced weights add up to n.
     """
     if name == "Random Forest":
         estimator = RandomForestClassifier(
@@ -63,7 +71,7 @@ def classifier(name: str, features: list[str], label: str, weight: str, n_rows:
             labelCol=label,
             weightCol=weight,
             elasticNetParam=0.0,
-            standardization=True,
+            standardization=False,
             **{"maxIter": LOGISTIC_ITERATIONS, "regParam": 1.0 / (LOGISTIC_C * n_rows), **settings},
         )
     else:
@@ -102,24 +110,20 @@ def cross_validated_f1(pipeline: Pipeline, df: DataFrame, label: str, fold: str,
         parallelism=parallelism,
         collectSubModels=False,
     )
-    fitted = validator.fit(df)
+    fitted = validator.fit(spread(df))
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 
-def importance(model: PipelineModel, features: list[str], deviations: dict[str, float] | None = None) -> DataFrame:
+def importance(model: PipelineModel, features: list[str]) -> DataFrame:
     """Feature, importance and sign, highest first.
 
-    Trees give their importances; a logistic model the size of its coefficients, turned to
-    deviation-1 features where ``deviations`` are given.
+    Trees give their importances, a logistic model the size of its coefficients.
     """
-    from pyspark.sql import SparkSession
-
     fitted = model.stages[-1]
     if hasattr(fitted, "featureImportances"):
         rows = [(f, float(v), 1) for f, v in zip(features, fitted.featureImportances.toArray())]
     else:
-        scaled = [float(c) * (deviations or {}).get(f, 1.0) for f, c in zip(features, fitted.coefficients.toArray())]
-        rows = [(f, abs(c), -1 if c < 0 else 1) for f, c in zip(features, scaled)]
+        rows = [(f, abs(float(c)), -1 if c < 0 else 1) for f, c in zip(features, fitted.coefficients.toArray())]
     frame = SparkSession.active().createDataFrame(rows, "feature string, importance double, sign int")
     return frame.orderBy(F.col("importance").desc(), "feature")
 

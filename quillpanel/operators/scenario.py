@@ -149,15 +149,17 @@ def scenario_totals(df: DataFrame, scenarios: list[Scenario], columns: ImpactCol
     All scenarios are sums of one pass over the entities, so rows are neither multiplied
     nor shuffled; what moves is one row of partial sums per task.
     """
+    names = {s.scenario: f"_t{i}" for i, s in enumerate(scenarios)}
+    sums = df.agg(*[F.sum(impact(columns, literals(s))["reduction"]).alias(names[s.scenario]) for s in scenarios])
+    totals = sums.na.fill(0.0)
+    base = F.col(names["base"])
     rows = []
-    base = next(s for s in scenarios if s.scenario == "base")
-    total = lambda s: F.coalesce(F.sum(impact(columns, literals(s))["reduction"]), F.lit(0.0))
     for s in scenarios:
-        diff = total(s) - total(base)
+        total = F.col(names[s.scenario])
         labels = [F.lit(v).alias(k) for k, v in asdict(s).items() if k != "flat_target"]
-        vs_base = F.coalesce(percent_of(diff, total(base)), F.lit(0.0))
-        rows.append(F.struct(*labels, total(s).alias("total"), vs_base.alias("vs_base_pct")))
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+        vs_base = F.coalesce(percent_of(total - base, base), F.lit(0.0))
+        rows.append(F.struct(*labels, total.alias("total"), vs_base.alias("vs_base_pct")))
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def base_summary(df: DataFrame, columns: ImpactColumns, scenario: Scenario | None = None) -> DataFrame:

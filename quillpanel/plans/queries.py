@@ -61,9 +61,22 @@ def query(f: Query) -> Query:
     return f
 
 
-def out(df: DataFrame, **columns: int | None) -> DataFrame:
-    """Result columns; a number of digits rounds, None leaves as is."""
-    return df.select(*[F.col(c) if d is None else tidy(F.col(c), d).alias(c) for c, d in columns.items()])
+LOG = "log"
+
+
+def out(df: DataFrame, **columns: int | str | None) -> DataFrame:
+    """Result columns: a number of digits rounds, None leaves as is, LOG gives log1p to 9 digits.
+
+    LOG is for ratios of whole numbers over many magnitudes, whose short decimals would
+    otherwise lie on rounding edges.
+    """
+
+    def shown(c: str, d: int | str | None):
+        if d is None:
+            return F.col(c)
+        return tidy(F.log1p(c), 9).alias(f"log_{c}") if d == LOG else tidy(F.col(c), d).alias(c)
+
+    return df.select(*[shown(c, d) for c, d in columns.items()])
 
 
 def metric_digits(names: list[str]) -> dict[str, int]:
@@ -287,7 +300,7 @@ def gap_fill_blocks(spark, d):
 def derived_features(spark, d):
     rows = panels.derived_features(nation_panel(spark, d), "base", "population", "target")
     rows = rows.withColumn("scaled_intensity", numeric.scaled_intensity(F.col("target"), F.col("base")))
-    return out(rows, entity=None, period=None, log_gdp=6, log_population=6, log_co2=6, co2_intensity=4, scaled_intensity=4)
+    return out(rows, entity=None, period=None, log_gdp=6, log_population=6, log_co2=6, co2_intensity=LOG, scaled_intensity=LOG)
 
 
 def _cleaned(panel):
@@ -301,7 +314,7 @@ def clean_panel(spark, d):
     return out(
         _cleaned(customers(spark, d)),
         entity=None, period=None, **metric_digits(NATION_METRICS), growth_pct=6,
-        log_gdp=6, log_population=6, log_co2=6, co2_intensity=4,
+        log_gdp=6, log_population=6, log_co2=6, co2_intensity=LOG,
     )
 
 
@@ -413,14 +426,14 @@ def endpoint_change(spark, d):
 @query
 def trend_slope(spark, d):
     slopes = rank.trend_slope(_full_periods(customer_panel(spark, d)), "entity", "period", "target")
-    return out(slopes, entity=None, trend_slope=8)
+    return out(slopes, entity=None, trend_slope=10)
 
 
 @query
 def latest_profile(spark, d):
     panel = _full_periods(customers(spark, d))
     rows = segment.latest_profile(panel, "entity", "period", "target", "base")
-    return out(rows, entity=None, period=None, target=8, intensity=4, endpoint_change=6)
+    return out(rows, entity=None, period=None, target=8, intensity=LOG, endpoint_change=6)
 
 
 @query
@@ -455,7 +468,7 @@ def top_entity_series(spark, d):
 @query
 def cumulative_growth(spark, d):
     grown = outcome.cumulative_growth(customer_panel(spark, d), "entity", "period", "growth_pct", BASE_PERIOD, LAST_FULL_PERIOD)
-    return out(grown, entity=None, n_rates=None, growth=6)
+    return out(grown, entity=None, n_rates=None, growth=LOG)
 
 
 @query
@@ -463,14 +476,14 @@ def cumulative_growth_corrected(spark, d):
     grown = outcome.cumulative_growth(
         customer_panel(spark, d), "entity", "period", "growth_pct", FEATURE_PERIOD, LAST_FULL_PERIOD, include_base_year=False
     )
-    return out(grown, entity=None, n_rates=None, growth=6)
+    return out(grown, entity=None, n_rates=None, growth=LOG)
 
 
 @query
 def outcome_labels(spark, d):
     return out(
         outcome_frame(customer_panel(spark, d)),
-        entity=None, start_value=8, end_value=8, change=6, growth=6, outcome=None, success=None,
+        entity=None, start_value=8, end_value=8, change=6, growth=LOG, outcome=None, success=None,
     )
 
 
@@ -507,7 +520,7 @@ def feature_matrix(spark, d):
     names = [*FEATURES, "log_target", "log_base"]
     return out(
         impute.fill_median(rows, names),
-        entity=None, target=9, **{n: 6 for n in names[1:]}, success=None, change=6, growth=6, outcome=None,
+        entity=None, target=9, **{n: 6 for n in names[1:]}, success=None, change=6, growth=LOG, outcome=None,
     )
 
 
@@ -752,11 +765,11 @@ def shock_table(spark, d):
     return out(rows, entity=None, factor=2, slope=6, multiplier=6, change_pct=6, linear_pct=6, linear_error=6, response=None)
 
 
-def _line(panel, fit_on=None):
+def _line(panel):
     """Least-squares line of log target on log base, and the panel's rows with both logs."""
-    rows = panel.select(*KEYS, F.log1p("target").alias("label"), F.log1p("base").alias("log_base")).where("label IS NOT NULL")
-    rows = splits.contiguous_folds(rows, KEYS, 2)
-    return linear.ridge_cv(rows, ["log_base"], "label", "fold", alphas=[0.0]), rows
+    model = linear.line_model(linear.log_slope(panel, "target", "base"), "log_base")
+    rows = panel.select(*KEYS, F.log1p("target").alias("label"), F.log1p("base").alias("log_base"))
+    return model, rows.where("label IS NOT NULL")
 
 
 def _line_changes(spark, d):
@@ -861,7 +874,7 @@ def _model_rows(spark, d):
     rows = customer_panel(spark, d).where("target IS NOT NULL")
     rows = rows.withColumns({"label": F.log1p("target"), "log_base": F.log1p("base")})
     train, test = select.temporal_split(stage(rows, "model"), "period", LAST_TRAIN, "label", MODEL_FEATURES)
-    return splits.contiguous_folds(train, KEYS, V.RIDGE_FOLDS), test
+    return stage(splits.contiguous_folds(train, KEYS, V.RIDGE_FOLDS), "train"), test
 
 
 @query
@@ -888,16 +901,24 @@ def forest_regression(spark, d):
 
 
 def _class_rows(spark, d):
-    """Weighted, imputed feature rows split by class; medians come from the training rows."""
+    """Weighted, imputed feature rows split by class; medians and scales come from the training rows."""
     rows = stage(_features(customers(spark, d)), "class-rows")
-    train, test = splits.stratified_split(rows, "entity", "success")
-    filled = [impute.fill_median(part, CLASS_FEATURES, fit_on=train) for part in (train, test)]
-    train = stage(splits.balanced_weights(filled[0], "success"), "train")
-    return train, stage(filled[1].withColumn("weight", F.lit(1.0)), "test")
+    train, test = (stage(part, "split") for part in splits.stratified_split(rows, "entity", "success"))
+    train, test = (stage(impute.fill_median(part, CLASS_FEATURES, fit_on=train), "filled") for part in (train, test))
+    train, test = (linear.standardise(part, CLASS_FEATURES, train, "_z") for part in (train, test))
+    return stage(splits.balanced_weights(train, "success"), "train"), stage(test.withColumn("weight", F.lit(1.0)), "test")
+
+
+def _names(model):
+    return [f"{c}_z" for c in CLASS_FEATURES] if model == "Logistic Regression" else CLASS_FEATURES
+
+
+def _pipeline(name, n_rows):
+    return trees.classifier(name, _names(name), "success", "weight", n_rows)
 
 
 def _fit(name, train):
-    return trees.classifier(name, CLASS_FEATURES, "success", "weight", train.count()).fit(train)
+    return _pipeline(name, train.count()).fit(trees.spread(train))
 
 
 def _evaluated(spark, d, names):
@@ -932,10 +953,7 @@ def best_model(spark, d):
 @query
 def feature_importance(spark, d):
     train, _ = _class_rows(spark, d)
-    deviation = train.agg(*[F.stddev_pop(c).alias(c) for c in CLASS_FEATURES]).first().asDict()
-    frames = [
-        trees.importance(_fit(n, train), CLASS_FEATURES, deviation).withColumn("model", F.lit(n)) for n in trees.CLASSIFIERS
-    ]
+    frames = [trees.importance(_fit(n, train), CLASS_FEATURES).withColumn("model", F.lit(n)) for n in trees.CLASSIFIERS]
     return trees.union_rows(frames)
 
 
@@ -946,8 +964,7 @@ def cv_f1(spark, d):
     n = folded.count()
     rows = []
     for name in trees.CLASSIFIERS:
-        pipeline = trees.classifier(name, CLASS_FEATURES, "success", "weight", n)
-        rows.append((name, *trees.cross_validated_f1(pipeline, folded, "success", "fold", 5)))
+        rows.append((name, *trees.cross_validated_f1(_pipeline(name, n), folded, "success", "fold", 5)))
     return spark.createDataFrame(rows, "model string, cv_f1_mean double, cv_f1_std double")
 
 
@@ -956,7 +973,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     cleaned = stage(_cleaned(customers(spark, d)), "cleaned")
     segments = segment.with_archetype(at_last_full(cleaned), ROLES, CUTS).select("entity", "archetype")
     found = outcome_frame(cleaned).join(segments, "entity")
-    return out(found, entity=None, archetype=None, start_value=8, end_value=8, change=6, growth=6, outcome=None, success=None)
+    return out(found, entity=None, archetype=None, start_value=8, end_value=8, change=6, growth=LOG, outcome=None, success=None)
 
 
 QUERIES["flagship"] = flagship
