@@ -10,14 +10,13 @@ starts at the total of the ranges below it.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MIN_RANGES, MAX_RANGES = 64, 4096
+MIN_RANGES, MAX_RANGES = 32, 1024
 
 
 def range_count(df: DataFrame) -> int:
@@ -41,42 +40,36 @@ def ordered_totals(
     """
     measures = measures or {"n": F.count(F.lit(1))}
     names = list(measures)
-    keys = [by] if by else []
-    ranges = ranges or range_count(df)
-    stride = math.isqrt(ranges)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[m.alias(k) for k, m in measures.items()])
+    group = by or "_group"
+    rows = df.where(F.col(value).isNotNull())
+    if not by:  # one group for all, written so that it stays a join key
+        rows = rows.withColumn(group, F.when(F.col(value).isNotNull(), 0))
+    counted = rows.groupBy(group, value).agg(*[m.alias(k) for k, m in measures.items()])
+    cuts = _cuts(counted, value, group, names, ranges or range_count(df))
+    inside_range = (F.col("_low").isNull() | (F.col("_low") <= F.col(value))) & (
+        F.col("_high").isNull() | (F.col(value) < F.col("_high"))
+    )
+    # the ranges of a group cover all values once, so each row finds exactly one of the few
+    ranged = counted.join(F.broadcast(cuts), (counted[group] == cuts["_of"]) & inside_range).select(
+        group, value, *names, "_range"
     )
 
-    # the tests on the measures keep this branch's columns equal to the others', so one shuffle serves all
-    candidates = counted.where(reduce(lambda a, b: a & b, [F.col(m) >= 0 for m in names]))
-    hashed = [F.xxhash64(value), F.col(value)]
-    if by:
-        no = F.row_number().over(W.partitionBy(by).orderBy(*hashed))
-        picked = candidates.withColumn("_no", no).where(F.col("_no") <= ranges).groupBy(by)
-        found = picked.agg(_cuts(value, stride)).agg(F.map_from_entries(F.collect_list(F.struct(by, "cuts"))).alias("cuts")).scalar()
-        cuts = F.element_at(found, F.col(by))
-    else:
-        cuts = candidates.orderBy(*hashed).limit(ranges).agg(_cuts(value, stride)).scalar()
-    ranged = counted.withColumn("_cuts", cuts).withColumn("_range", _range_no(F.col("_cuts"), F.col(value), stride)).drop("_cuts")
-
-    below = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    group = W.partitionBy(*keys)
+    below = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = (
-        ranged.groupBy(*keys, "_range")
+        ranged.groupBy(group, "_range")
         .agg(*[F.sum(m).alias(f"_sum_{m}") for m in names])
         .select(
-            *keys,
+            group,
             "_range",
             *[F.coalesce(F.sum(f"_sum_{m}").over(below), F.lit(0)).alias(f"_below_{m}") for m in names],
-            *[F.sum(f"_sum_{m}").over(group).alias(f"{m}_all") for m in names],
+            *[F.sum(f"_sum_{m}").over(W.partitionBy(group)).alias(f"{m}_all") for m in names],
         )
     )
-    inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     positioned = ranged.withColumns({f"_inside_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in names})
     # at most (ranges + 1) rows per group, so the broadcast side cannot grow with the data
-    return positioned.join(F.broadcast(totals), [*keys, "_range"]).select(
-        *keys,
+    return positioned.join(F.broadcast(totals), [group, "_range"]).select(
+        *([by] if by else []),
         value,
         *names,
         *[(F.col(f"_below_{m}") + F.col(f"_inside_{m}")).alias(f"{m}_before") for m in names],
@@ -84,19 +77,16 @@ def ordered_totals(
     )
 
 
-def _cuts(value: str, stride: int) -> Column:
-    """Aggregate: the boundaries in ascending order, and the first of every ``stride``."""
-    every = F.sort_array(F.collect_list(value))
-    return F.struct(every.alias("all"), F.filter(every, lambda _, i: i % stride == 0).alias("heads")).alias("cuts")
-
-
-def _range_no(cuts: Column, value: Column, stride: int) -> Column:
-    """How many boundaries are <= value, found in two short steps instead of one long one."""
-    upto = lambda part: F.array_size(F.filter(part, lambda cut: cut <= value))
-    head = upto(cuts["heads"])
-    found = (head - 1) * stride + upto(F.slice(cuts["all"], (head - 1) * stride + 1, stride))
-    # never NULL: a nullable join key would be tested, and so computed, on every raw row below the aggregate
-    return F.coalesce(F.when(head > 0, found), F.lit(0))
+def _cuts(counted: DataFrame, value: str, group: str, names: list[str], ranges: int) -> DataFrame:
+    """Ranges of each group as (_of, _range, _low, _high), low included, open at both ends."""
+    # the tests on the measures keep this branch's columns equal to the others', so one shuffle serves all
+    rows = counted.where(reduce(lambda a, b: a & b, [F.col(m) >= 0 for m in names]))
+    no = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(value), F.col(value)))
+    chosen = rows.withColumn("_no", no).where(F.col("_no") <= ranges).groupBy(group)
+    edges = chosen.agg(F.sort_array(F.collect_list(value)).alias("_edges"))
+    open_end = F.array(F.lit(None).cast(counted.schema[value].dataType))
+    unfolded = edges.select(F.col(group).alias("_of"), "_edges", F.posexplode(F.concat(open_end, "_edges")).alias("_range", "_low"))
+    return unfolded.select("_of", "_range", "_low", F.get("_edges", F.col("_range")).alias("_high"))
 
 
 def average_rank(ascending: bool = True) -> Column:

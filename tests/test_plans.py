@@ -97,3 +97,8 @@ def test_value_counts_shuffle_is_shared(panel):
     quantile.collect()
     final = plan(quantile).split("Initial Plan")[0]
     assert final.count("ReusedExchange") >= 1 or final.count("FileScan") == 1
+
+
+def test_ungrouped_ranks_stay_a_keyed_join(panel):
+    text = plan(ordered.quantiles(panel, "target", {"m": 0.5}))
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
