@@ -24,16 +24,17 @@ def upper_title(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, "_", " "))
 
 
-def display(c: Column, pattern: str, missing: str = "N/A") -> Column:
-    """Formatted number, or the word for missing."""
-    return F.when(c.isNull(), F.lit(missing)).otherwise(F.format_string(pattern, c))
+def display(c: Column, digits: int, prefix: str = "", suffix: str = "", sign: bool = False, missing: str = "N/A") -> Column:
+    """Number with thousands commas and fixed digits, halves to even; or the word for missing."""
+    number = F.format_string(f"%{'+' if sign else ''},.{digits}f", F.bround(c.cast("double"), digits))
+    return F.when(c.isNull(), F.lit(missing)).otherwise(F.concat(F.lit(prefix), number, F.lit(suffix)))
 
 
 def signed_percent(share: Column) -> Column:
     """0.123 -> '+12.3%'."""
-    return display(share * 100, "%+.1f%%")
+    return display(share * 100, 1, suffix="%", sign=True)
 
 
 def dollars(c: Column) -> Column:
-    """1234.5 -> '$1,234'."""
-    return display(c, "$%,.0f")
+    """1234.6 -> '$1,235'."""
+    return display(c, 0, prefix="$")

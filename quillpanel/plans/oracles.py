@@ -13,12 +13,12 @@ lines as (
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey)"""
 
 MEASURES = """
-  sum(l_extendedprice) / 1e6 as target, sum(l_quantity) as base,
+  round(sum(l_extendedprice), 2) / 1e6 as target, sum(l_quantity) as base,
   100e0 * avg(case when l_returnflag = 'R' then 1e0 else 0e0 end) as fossil_pct,
   100e0 * avg(case when l_linestatus = 'O' then 1e0 else 0e0 end) as renewable_pct"""
 
 SECTOR_SUMS = ",\n  ".join(
-    f"sum(case when o_orderpriority = '{v}' then l_extendedprice end) / 1e6 as {k}"
+    f"round(sum(case when o_orderpriority = '{v}' then l_extendedprice end), 2) / 1e6 as {k}"
     for k, v in {"s_urgent": "1-URGENT", "s_high": "2-HIGH", "s_medium": "3-MEDIUM", "s_low": "5-LOW"}.items()
 )
 
@@ -155,9 +155,9 @@ select entity, period, {r('target', 10)}, {r('base')}, {r('fossil_pct')} from fi
 add("gap_fill", CUSTOMER, GAPS)
 add("gap_fill_blocks", CUSTOMER, GAPS)
 DERIVED = [r("ln(1 + base)", 6, "log_gdp"), r("ln(1 + population)", 6, "log_population"), r("ln(1 + target)", 6, "log_co2"),
-           r("ln(1 + target / nullif(base / 1e9, 0))", 9, "log_co2_intensity")]
+           r("ln(1 + target / nullif(base / 1e9, 0))", 8, "log_co2_intensity")]
 add("derived_features", NATION, f""" select entity, period, {", ".join(DERIVED)},
-  {r('ln(1 + target * 1e9 / nullif(base, 0))', 9, 'log_scaled_intensity')} from n""")
+  {r('ln(1 + target * 1e9 / nullif(base, 0))', 8, 'log_scaled_intensity')} from n""")
 CLEAN = f""", k0 as (select * from c where entity not in (20, 21, 22, 23, 24) and target is not null),
 sparse as (select entity from k0 group by entity having sum({NULLS}) / (6e0 * count(*)) > 0.5),
 kept as (select * from k0 where entity not in (select entity from sparse))""" + gap_ctes("kept", METRICS)
@@ -244,7 +244,7 @@ prof as (select c.entity, c.period, c.target, c.target * 1e9 / nullif(c.base, 0)
   from c left join trend using (entity) where c.period = 2000)"""
 add("endpoint_change", CUSTOMER, TREND + f" select entity, {r('(l - f) / nullif(f, 0)', 6, 'endpoint_change')} from trend")
 add("trend_slope", CUSTOMER, TREND + f" select entity, {r('regr_slope(target, period)', 10, 'trend_slope')} from recent group by entity")
-add("latest_profile", CUSTOMER, TREND + f" select entity, period, {T8}, {r('ln(1 + intensity)', 9, 'log_intensity')}, {r('change', 6, 'endpoint_change')} from prof")
+add("latest_profile", CUSTOMER, TREND + f" select entity, period, {T8}, {r('ln(1 + intensity)', 8, 'log_intensity')}, {r('change', 6, 'endpoint_change')} from prof")
 add("quick_wins", CUSTOMER, TREND + f""" select entity, {T8}, {r('change', 6, 'endpoint_change')} from prof
 where change < -0.05 and target > 0.1 order by change, entity limit 15""")
 add("topk_union", NATION, LATEST + f"""
@@ -261,13 +261,13 @@ select entity, period, {T8} from n where entity in (select entity from latest or
 # outcome and segments
 add("cumulative_growth", CUSTOMER, f"""
 select entity, count(growth_pct) as n_rates,
-  {r('case when count(growth_pct) >= 0.7e0 * 5 then ln(product(1 + growth_pct / 100)) end', 9, 'log_growth')}
+  {r('case when count(growth_pct) >= 0.7e0 * 5 then ln(product(1 + growth_pct / 100)) end', 8, 'log_growth')}
 from c where period between 1995 and 2000 group by entity""")
 add("cumulative_growth_corrected", CUSTOMER, f"""
 select entity, count(growth_pct) as n_rates,
-  {r('case when count(growth_pct) >= 0.7e0 * 4 then ln(product(1 + growth_pct / 100)) end', 9, 'log_growth')}
+  {r('case when count(growth_pct) >= 0.7e0 * 4 then ln(product(1 + growth_pct / 100)) end', 8, 'log_growth')}
 from c where period between 1997 and 2000 group by entity""")
-add("outcome_labels", CUSTOMER, OUTCOME + f""" select entity, {r('start_value', 8)}, {r('end_value', 8)}, {r('change')}, {r('ln(1 + growth)', 9, 'log_growth')},
+add("outcome_labels", CUSTOMER, OUTCOME + f""" select entity, {r('start_value', 8)}, {r('end_value', 8)}, {r('change')}, {r('ln(1 + growth)', 8, 'log_growth')},
   outcome, success from lab""")
 add("outcome_counts", CUSTOMER, OUTCOME + " select outcome, count(*) as n from lab group by outcome")
 add("outcome_share", CUSTOMER, OUTCOME + f""" select count(*) as n_total, cast(sum(success) as bigint) as n_success,
@@ -281,7 +281,7 @@ up as (select * from lab where outcome = 'no_reduction' order by change desc, en
 select entity, outcome, {r('change')} from (select * from down union all select * from up)""")
 FILL = lambda m: f"coalesce({m}, (select quantile_cont(cast({m} as double), 0.5) from feat))"
 add("feature_matrix", CUSTOMER, FEATURED + f""" select entity, {r(FILL('target'), 9, 'target')},
-  {", ".join(r(FILL(m), 6, m) for m in [*METRICS[1:], 'log_target', 'log_base'])}, success, {r('change')}, {r('ln(1 + growth)', 9, 'log_growth')}, outcome from feat""")
+  {", ".join(r(FILL(m), 6, m) for m in [*METRICS[1:], 'log_target', 'log_base'])}, success, {r('change')}, {r('ln(1 + growth)', 8, 'log_growth')}, outcome from feat""")
 SEGMENTED = """, seg as (select *, case
     when base is null or target is null then 'Insufficient Data'
     when renewable_pct > 60 then 'Clean Energy Leader'
@@ -306,7 +306,7 @@ add("sector_actions", NATION, f""", split as ({SPLIT}) select a.role as sector,
 from split join {SECTOR_ROWS} a(sector, role, priority, action) on a.sector = split.sector""")
 add("sector_report", NATION, f""", split as ({SPLIT}) select substr(sector, 3) as sector,
   concat(upper(substr(sector, 3, 1)), substr(sector, 4)) as title, upper(substr(sector, 3)) as heading,
-  printf('%.2f', amount) as amount, printf('%.1f%%', share) as share from split""")
+  format('{:,.2f}', amount) as amount, printf('%.1f%%', share) as share from split""")
 
 # scenario
 OWNED = """case when {0} is null then 100 when {0} < 1000 then 20 when {0} < 5000 then 50 when {0} < 15000 then 200
@@ -462,5 +462,5 @@ lo as (select 'smallest' as side, * from cp order by change_pct, entity limit 5)
 select side, entity, {r('baseline')}, {r('change_pct')} from (select * from hi union all select * from lo)""")
 CLEAN_OUTCOME = OUTCOME.replace("from c where", "from filled where")
 add("flagship", CUSTOMER, CLEAN + CLEAN_OUTCOME + SEGMENTED.format("filled") + f"""
-select lab.entity, archetype, {r('start_value', 8)}, {r('end_value', 8)}, {r('change')}, {r('ln(1 + growth)', 9, 'log_growth')}, outcome, success
+select lab.entity, archetype, {r('start_value', 8)}, {r('end_value', 8)}, {r('change')}, {r('ln(1 + growth)', 8, 'log_growth')}, outcome, success
 from lab join seg on lab.entity = seg.entity""")

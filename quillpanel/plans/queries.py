@@ -65,7 +65,7 @@ LOG = "log"
 
 
 def out(df: DataFrame, **columns: int | str | None) -> DataFrame:
-    """Result columns: a number of digits rounds, None leaves as is, LOG gives log1p to 9 digits.
+    """Result columns: a number of digits rounds, None leaves as is, LOG gives log1p to 8 digits.
 
     LOG is for ratios of whole numbers over many magnitudes, whose short decimals would
     otherwise lie on rounding edges.
@@ -74,7 +74,7 @@ def out(df: DataFrame, **columns: int | str | None) -> DataFrame:
     def shown(c: str, d: int | str | None):
         if d is None:
             return F.col(c)
-        return tidy(F.log1p(c), 9).alias(f"log_{c}") if d == LOG else tidy(F.col(c), d).alias(c)
+        return tidy(F.log1p(c), 8).alias(f"log_{c}") if d == LOG else tidy(F.col(c), d).alias(c)
 
     return df.select(*[shown(c, d) for c, d in columns.items()])
 
@@ -571,8 +571,8 @@ def sector_report(spark, d):
         name.alias("sector"),
         text.title(name).alias("title"),
         text.upper_title(name).alias("heading"),
-        text.display(F.col("amount"), "%.2f").alias("amount"),
-        text.display(F.nullif(F.col("share_pct"), F.lit(0.0)), "%.1f%%").alias("share"),
+        text.display(F.col("amount"), 2).alias("amount"),
+        text.display(F.col("share_pct"), 1, suffix="%").alias("share"),
     )
 
 

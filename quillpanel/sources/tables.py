@@ -7,7 +7,7 @@ combined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,12 @@ def customer_years(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _millions(cents_exact: Column) -> Column:
+    """A sum of prices in millions.  Prices are whole cents, so rounding the sum to cents removes only float
+    noise, and equal amounts are equal numbers whatever the order of addition."""
+    return F.round(cents_exact, 2) / 1e6
+
+
 def _growth(df: DataFrame) -> DataFrame:
     by_entity = W.partitionBy("entity").orderBy("period")
     return df.withColumn("growth_pct", (ratio(F.col("base"), F.lag("base").over(by_entity)) - 1) * 100)
@@ -63,12 +69,12 @@ def nation_panel(spark: SparkSession, folder: str) -> DataFrame:
         years.join(customer, years.o_custkey == customer.c_custkey)
         .groupBy(F.col("c_nationkey").alias("entity"), "period")
         .agg(
-            (F.sum("price") / 1e6).alias("target"),
+            _millions(F.sum("price")).alias("target"),
             F.sum("quantity").alias("base"),
             F.count(F.lit(1)).alias("population"),
             percent_of(F.sum("returned"), F.sum("lines")).alias("fossil_pct"),
             percent_of(F.sum("open"), F.sum("lines")).alias("renewable_pct"),
-            *[(F.coalesce(F.sum(s), F.lit(0.0)) / 1e6).alias(s) for s in SECTORS],
+            *[_millions(F.sum(s)).alias(s) for s in SECTORS],
         )
     )
     return _growth(panel)
@@ -82,12 +88,12 @@ def customer_panel(spark: SparkSession, folder: str, first: int = FIRST_PERIOD,
     metrics = customer_years(spark, folder).select(
         F.col("o_custkey").alias("entity"),
         "period",
-        (F.col("price") / 1e6).alias("target"),
+        _millions(F.col("price")).alias("target"),
         F.col("quantity").alias("base"),
         F.col("orders").alias("population"),
         percent_of(F.col("returned"), F.col("lines")).alias("fossil_pct"),
         percent_of(F.col("open"), F.col("lines")).alias("renewable_pct"),
-        *[(F.col(s) / 1e6).alias(s) for s in SECTORS],
+        *[_millions(F.col(s)).alias(s) for s in SECTORS],
     )
     return _growth(grid.join(metrics, ["entity", "period"], "left"))
 

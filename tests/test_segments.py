@@ -182,4 +182,4 @@ def test_text(spark):
         text.title(text.metric_name(F.col("m"))), text.upper_title(text.metric_name(F.col("m"))), text.signed_percent(F.col("s")),
         text.signed_percent(F.col("n")), text.dollars(F.col("d")), text.parse_period(F.col("y")),
     )
-    assert got == [("Power Industry", "POWER INDUSTRY", "+12.3%", "N/A", "$1,235", 1990)]
+    assert got == [("Power Industry", "POWER INDUSTRY", "+12.3%", "N/A", "$1,234", 1990)]
