@@ -306,7 +306,7 @@ add("sector_actions", NATION, f""", split as ({SPLIT}) select a.role as sector,
 from split join {SECTOR_ROWS} a(sector, role, priority, action) on a.sector = split.sector""")
 add("sector_report", NATION, f""", split as ({SPLIT}) select substr(sector, 3) as sector,
   concat(upper(substr(sector, 3, 1)), substr(sector, 4)) as title, upper(substr(sector, 3)) as heading,
-  format('{:,.2f}', amount) as amount, printf('%.1f%%', share) as share from split""")
+  format('{{:,.2f}}', amount) as amount, printf('%.1f%%', share) as share from split""")
 
 # scenario
 OWNED = """case when {0} is null then 100 when {0} < 1000 then 20 when {0} < 5000 then 50 when {0} < 15000 then 200
