@@ -261,11 +261,11 @@ select entity, period, {T8} from n where entity in (select entity from latest or
 # outcome and segments
 add("cumulative_growth", CUSTOMER, f"""
 select entity, count(growth_pct) as n_rates,
-  {r('case when count(growth_pct) >= 0.7e0 * 5 then ln(product(1 + growth_pct / 100)) end', 8, 'log_growth')}
+  {r('case when count(growth_pct) >= 0.7e0 * 5 then ln(1 + round(product(1 + growth_pct / 100) - 1, 12)) end', 8, 'log_growth')}
 from c where period between 1995 and 2000 group by entity""")
 add("cumulative_growth_corrected", CUSTOMER, f"""
 select entity, count(growth_pct) as n_rates,
-  {r('case when count(growth_pct) >= 0.7e0 * 4 then ln(product(1 + growth_pct / 100)) end', 8, 'log_growth')}
+  {r('case when count(growth_pct) >= 0.7e0 * 4 then ln(1 + round(product(1 + growth_pct / 100) - 1, 12)) end', 8, 'log_growth')}
 from c where period between 1997 and 2000 group by entity""")
 add("outcome_labels", CUSTOMER, OUTCOME + f""" select entity, {r('start_value', 8)}, {r('end_value', 8)}, {r('change')}, {r('ln(1 + growth)', 8, 'log_growth')},
   outcome, success from lab""")

@@ -964,7 +964,7 @@ def cv_f1(spark, d):
     n = folded.count()
     rows = []
     for name in trees.CLASSIFIERS:
-        rows.append((name, *trees.cross_validated_f1(_pipeline(name, n), folded, "success", "fold", 5)))
+        rows.append((name, *trees.cross_validated_f1(_pipeline(name, n), folded, "success", "fold", 5, parallelism=5)))
     return spark.createDataFrame(rows, "model string, cv_f1_mean double, cv_f1_std double")
 
 
