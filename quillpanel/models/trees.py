@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -98,13 +98,23 @@ def evaluate(model: PipelineModel, train: DataFrame, test: DataFrame, label: str
     )
 
 
+class ClassOneF1(Evaluator):
+    """F1 of class 1, 0 where a fold has neither a positive label nor a positive prediction."""
+
+    def __init__(self, label: str):
+        super().__init__()
+        self.label = label
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(binary_metrics(dataset, self.label).first()["f1"])
+
+
 def cross_validated_f1(pipeline: Pipeline, df: DataFrame, label: str, fold: str, k: int, parallelism: int = 2) -> tuple[float, float]:
     """Mean and population deviation of class 1's F1 over given folds."""
-    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
     validator = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=evaluator,
+        evaluator=ClassOneF1(label),
         numFolds=k,
         foldCol=fold,
         parallelism=parallelism,
