@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import packing, secrets, token_orc
+from quillpanel.llm import mixing, packing, rules, secrets, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,12 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+@query
+def op4_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures and verdict of every document."""
+    return rules.judge(table(spark, folder, "documents"))
+
+
 @query
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secret spans of every document."""
@@ -46,3 +52,9 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op7_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of all documents' ids as read back from the ORC files."""
     return token_orc.tokenised(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    return mixing.mix(table(spark, folder, "documents"))
