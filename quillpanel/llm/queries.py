@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import mixing, packing, rules, secrets, token_orc
+from quillpanel.llm import language, mixing, packing, rules, secrets, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,9 @@ def op7_token_orc(spark: SparkSession, folder: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that the mix takes."""
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    return language.identify(table(spark, folder, "documents"))
