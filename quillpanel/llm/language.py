@@ -24,7 +24,7 @@ BITS = 15
 GRAMS = (2, 3, 4)
 DIMENSIONS = 16
 EPOCHS = 6
-RATE = 0.3
+RATE = 0.1
 BATCH = 64
 SEED = 11
 #: Bound of the training sample: texts over all languages, and short examples cut from each.
@@ -134,7 +134,13 @@ def train(examples: list[tuple[str, bool, np.ndarray, np.ndarray]]) -> Model:
     held = [e for e in examples if e[1]] or examples
     y = np.array([number[e[0]] for e in fit])
     shares = [(e[3] / e[3].sum()).astype(np.float32) for e in fit]
-    steps, done = EPOCHS * -(-len(fit) // BATCH), 0
+    # Step sizes fall with each parameter's squared gradients so far (AdaGrad): rare hashes learn as well.
+    seen = [np.full_like(x, 1e-8) for x in (embedding, weight, bias)]
+
+    def step(x: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rows=slice(None)) -> None:
+        squares[rows] += gradient**2
+        x[rows] -= RATE * gradient / np.sqrt(squares[rows])
+
     for _ in range(EPOCHS):
         order = rng.permutation(len(fit))
         for at in range(0, len(fit), BATCH):
@@ -146,17 +152,16 @@ def train(examples: list[tuple[str, bool, np.ndarray, np.ndarray]]) -> Model:
             mean = np.add.reduceat(embedding[keys] * share[:, None], first, axis=0)
             error = softmax(mean @ weight + bias)
             error[np.arange(len(chosen)), y[chosen]] -= 1
-            rate = RATE * (1 - done / steps)
-            back = (error @ weight.T).astype(np.float32)
-            weight -= rate * (mean.T @ error).astype(np.float32)
-            bias -= rate * error.sum(0).astype(np.float32) / len(chosen)
+            error = (error / len(chosen)).astype(np.float32)
+            back = error @ weight.T
+            step(weight, seen[1], mean.T @ error)
+            step(bias, seen[2], error.sum(0))
             unique, place = np.unique(keys, return_inverse=True)
             change = np.zeros((len(unique), DIMENSIONS), np.float32)
             push = np.repeat(back, sizes, axis=0) * share[:, None]
             for d in range(DIMENSIONS):
                 change[:, d] = np.bincount(place, push[:, d], len(unique))
-            embedding[unique] -= rate * len(unique) / 50 * change
-            done += 1
+            step(embedding, seen[0], change, unique)
     table = embedding @ weight
     truth = np.array([number[e[0]] for e in held])
     logits = np.stack([(e[3][:, None] * table[e[2]]).sum(0) / e[3].sum() + bias for e in held])
@@ -205,7 +210,7 @@ def _predictor(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        model, classes, letter = shared.value, byte_classes(), regex.compile(r"\p{L}").search
+        model, classes, letter = Model(*shared.value), byte_classes(), regex.compile(r"\p{L}").search
         for batch in slices(batches):
             texts = column(batch, "text")
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -234,7 +239,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language.  Rows are predicted each, also repeated ones; an empty table gives an empty result; columns
     other than doc_id and text are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 rows of one number per language
+    # 2**15 rows of one number per language; plain values, which need no import on the executors
+    plain = (model.languages, model.table, model.bias, model.temperature, model.reject_below)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
     out = docs.select("doc_id", "text")
     kind = dict(out.dtypes)["doc_id"]
     return out.mapInArrow(_predictor(shared), f"doc_id {kind}, lang_pred string, score double, accepted boolean")

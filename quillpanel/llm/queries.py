@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import language, mixing, packing, rules, secrets, token_orc
+from quillpanel.llm import language, minhash, mixing, packing, rules, secrets, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,9 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
     return language.identify(table(spark, folder, "documents"))
+
+
+@query
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near copies of all documents."""
+    return minhash.near_copies(table(spark, folder, "documents"))
