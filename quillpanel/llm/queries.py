@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import language, minhash, mixing, packing, rules, secrets, token_orc
+from quillpanel.llm import kneser_ney, language, minhash, mixing, packing, rules, secrets, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,12 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity and verdict of every document under a model of the trusted ones."""
+    return kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
