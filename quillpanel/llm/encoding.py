@@ -4,16 +4,20 @@ The tokenizer ``word_bpe_49k`` drops white space and never joins pieces across i
 are the ids of its words in order.  Most words of a corpus are repeats: each worker encodes a word once
 and keeps its ids in a table of bounded size.  Words of plain Latin letters, digits and signs are cut by
 the tokenizer's own pattern and go to its BPE model directly; any other word takes the library's full
-path (normalisation, special strings).  Both give what encoding the whole text gives.
+path (normalisation, special strings).  Both give what encoding the whole text gives.  A Python worker
+keeps its tables for the tasks that it runs later.
 """
 
 from __future__ import annotations
 
 import os
+import struct
+import sys
+import types
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 END_ID = 1
 
 # The tokenizer's split pattern, and the characters that take the short path
@@ -41,35 +45,53 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.cache_words = cache_words
         self.words: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
         self.letters = byte_letters()
+        self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.plain = regex.compile(PLAIN).fullmatch
         self.split = regex.compile(SPLIT).findall
 
-    def _unit(self, unit: str) -> bytes:
+    def _unit(self, unit: bytes) -> bytes:
+        """Ids of a lower-case piece between the tokenizer's cuts."""
         found = self.units.get(unit)
         if found is None:
-            text = unit if unit.isascii() else "".join(map(self.letters.__getitem__, unit.encode()))
-            found = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-            self.units[unit] = found
+            text = unit.decode() if unit.isascii() else "".join(map(self.letters.__getitem__, unit))
+            found = self.units[unit] = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
         return found
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
+        core = word[:-1] if word[-1] in ".,;:!?" else word
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):  # letters alone are one piece
+            ids = self._unit(core.lower().encode())
+            return ids if core is word else ids + self._unit(raw[-1:])
         if "<|" not in word and self.plain(word):
-            return b"".join([self._unit(u) for u in self.split(word.lower())])
+            return b"".join([self._unit(u.encode()) for u in self.split(word.lower())])
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids of one UTF-8 text."""
-        words, out = self.words, []
-        if len(words) > self.cache_words:
-            words.clear()
+        if len(self.words) > self.cache_words:
+            self.words.clear()
         if len(self.units) > self.cache_words:
             self.units.clear()
-        for w in text.split():  # on the bytes 20 and 09-0D
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = self._word(w)
-            out.append(ids)
-        return b"".join(out)
+        words = text.split()  # on the bytes 20 and 09-0D
+        out = list(map(self.words.get, words))
+        try:
+            return b"".join(out)
+        except TypeError:  # some words are new
+            for i, ids in enumerate(out):
+                if ids is None:
+                    ids = self.words.get(words[i])
+                    if ids is None:
+                        ids = self.words[words[i]] = self._word(words[i])
+                    out[i] = ids
+            return b"".join(out)
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """This worker's encoder for ``path``, made by its first task."""
+    kept = sys.modules.setdefault("_quillpanel_worker", types.ModuleType("_quillpanel_worker")).__dict__
+    if ("encoder", path) not in kept:
+        kept["encoder", path] = WordEncoder(path)
+    return kept["encoder", path]

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillpanel.llm.batches import column, slices, utf8
-from quillpanel.llm.encoding import END_ID, WordEncoder
+from quillpanel.llm.encoding import END_ID, worker_encoder
 from quillpanel.session import stage
 
 WINDOW = 2048
@@ -155,7 +155,7 @@ def layout(rests: np.ndarray, matrix: np.ndarray, window: int = WINDOW):
 
 def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, sequence = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, sequence = worker_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         matrix = combinations()
         block: list[tuple[int | None, bytes]] = []
