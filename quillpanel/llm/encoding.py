@@ -17,7 +17,7 @@ import types
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 END_ID = 1
 
 # The tokenizer's split pattern, and the characters that take the short path

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import kneser_ney, language, minhash, mixing, packing, rules, secrets, token_orc
+from quillpanel.llm import cosine, kneser_ney, language, minhash, mixing, packing, rules, secrets, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,12 @@ def op4_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"))
 
 
+@query
+def op5_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of all vectors with equal labels."""
+    return cosine.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secret spans of every document."""
