@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillpanel.llm.batches import column, slices
@@ -202,12 +202,12 @@ def tile_pairs(nodes: DataFrame, threshold: float, tile: int = TILE) -> DataFram
     # A tile's number: slot, then place in it; a pair is named by its smaller and its larger number.
     number = lambda slot, place: slot.cast("long") * (1 << 32) + place
     rows = rows.withColumn("place", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    others = F.concat(
-        *[
-            F.transform(F.filter(F.sequence(F.lit(0), n), lambda k, n=n: k < n), lambda k, step=step: number(F.col("slot") + step, k))
-            for step, n in ((0, F.col("tiles")), (1, F.col("tiles_up")), (-1, F.col("tiles_down")))
-        ]
-    )
+
+    def numbers(step: int, n: str) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.col(n)), lambda k: k < F.col(n))
+        return F.transform(places, lambda k: number(F.col("slot") + step, k))
+
+    others = F.concat(numbers(0, "tiles"), numbers(1, "tiles_up"), numbers(-1, "tiles_down"))
     rows = rows.withColumn("tile", number(F.col("slot"), F.col("place"))).withColumn("other", F.explode(others))
     return rows.select(*group, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "times", "vector", "turned")
 
