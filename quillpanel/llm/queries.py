@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import cosine, kneser_ney, language, minhash, mixing, packing, rules, secrets, token_orc
+from quillpanel.llm import cosine, kneser_ney, language, lattice, minhash, mixing, packing, rules, secrets, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Name of the tokenizer file that the token queries use.
+#: Names of the tokenizer file that the token queries use, and of the vocabulary that scoring uses.
 TOKENIZER = "word_bpe_49k.json"
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,6 +43,12 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+@query
+def op3_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of every document over all segmentations, learned from four fifths of them."""
+    return lattice.score(table(spark, folder, "documents"), tokenizer_path(VOCABULARY))
+
+
 @query
 def op4_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Figures and verdict of every document."""
