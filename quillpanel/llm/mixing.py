@@ -29,7 +29,7 @@ SHARD_SLOTS = 8192
 SEED = 20240917
 BUCKET_DOCS = 4096
 CHUNK_SHARDS = 4096
-ROUNDS = 12
+ROUNDS = 8
 PRIME = 2147483647
 
 
@@ -43,21 +43,22 @@ def hashed(value: Column, salt: Column) -> Column:
 
 
 def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Position ``x`` of 0..n-1 under the permutation that ``key`` names.
+    """Position ``x`` of 0..n-1 under the permutation that ``key`` (below PRIME) names; n below 2**46.
 
     Swap-or-not: each round pairs x with (k - x) mod n for the round's k, and a pseudorandom bit of the
     pair says whether to swap, which is a permutation for any n.
     """
-    p = F.lit(PRIME).cast("long")
+    long = lambda v: F.lit(v).cast("long")
+    constants = F.array(
+        *[F.struct(*[long(pow(g, r + 4, PRIME)).alias(c) for c, g in (("a", 48271), ("b", 69621), ("s", 16807))]) for r in range(1, rounds + 1)]
+    )
 
-    def one(at: Column, r: Column) -> Column:
-        salt = (key * 127 + r) % p
-        k = (hashed(salt, F.lit(11).cast("long")) * p + hashed(salt, F.lit(29).cast("long"))) % n
-        other = (k + n - at) % n
-        bit = F.floor(hashed(F.greatest(at, other), salt) / 256) % 2
-        return F.when(bit == 1, other).otherwise(at)
+    def one(at: Column, c: Column) -> Column:
+        other = (key * c["a"] + c["b"] + n - at) % n
+        mark = (F.greatest(at, other) * long(48271) + key + c["s"]) % long(PRIME)
+        return F.when((mark * mark % long(PRIME)).bitwiseAND(1024) != 0, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), x, one)
+    return F.aggregate(constants, x, one)
 
 
 def sums_before(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -140,7 +141,8 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     slots = slots.where(F.col("i") < F.col("n_blocks") * most)
     turn = F.floor(F.col("i") / F.col("n_blocks")).cast("long")
     key = (F.lit(seed).cast("long") + F.col("k") * 104729 + turn * 1299709) % PRIME
-    place = permuted(F.col("i") % F.col("n_blocks"), F.col("n_blocks"), key)
+    slots = slots.select("k", "n_blocks", key.alias("key"), (F.col("i") % F.col("n_blocks")).alias("block"))
+    place = permuted(F.col("block"), F.col("n_blocks"), F.col("key"))
     return slots.select("k", place.alias("block")).groupBy("k", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
