@@ -112,7 +112,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, thre
         i, j = np.nonzero(part + tail_a[at : at + ROWS, None] * tail_b[None] >= threshold - ROOM)
         so_far = part[i, j]
         i += at
-        for begin, end in zip(ends, [*ends[1:], d], strict=True):
+        for begin, end in zip(ends, [*ends[1:], d], strict=False):  # none where the first step took all
             so_far = so_far + np.einsum("ij,ij->i", a[i, begin:end], b[j, begin:end], dtype=np.float64)
             keep = so_far + rest(a, end)[i] * rest(b, end)[j] >= threshold - ROOM
             i, j, so_far = i[keep], j[keep], so_far[keep]
