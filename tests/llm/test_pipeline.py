@@ -1,0 +1,51 @@
+"""All stages on the smallest tables, and each registered query's columns."""
+
+import corpus_pipeline
+import pytest
+
+import __spark_entry__ as contract
+from quillpanel.llm.queries import QUERIES, table, tokenizer_path
+from quillpanel.session import stage
+
+COLUMNS = {
+    "op2_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op7_token_orc": ["doc_id", "start", "n_tokens", "ids_crc32"],
+}
+
+
+def test_stages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    columns, before = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    sizes = {}
+    for name, function in corpus_pipeline.STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+        rows = docs.collect()
+        sizes[name] = len(rows)
+        if name != "packing":
+            assert docs.columns == columns and len({r.doc_id for r in rows}) == len(rows)
+            assert all(r.n_chars == len(r.text) for r in rows)
+        if name in ("quality", "near_copies"):
+            assert all(r.text == before[r.doc_id] for r in rows)
+    assert len(before) > sizes["quality"] > sizes["near_copies"] == sizes["secrets"] >= sizes["mixing"] > 0
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    mixed = {r.doc_id: r.text for r in corpus_pipeline.mixed(spark, table(spark, sf_dir, "documents"), sf_dir).collect()}
+    assert mixed
+    total = {}
+    for r in rows:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+        assert r.start + r.length <= r.doc_tokens
+    assert len(total) == sizes["mixing"]
+    assert library.get_vocab_size() > 0
+
+
+def test_all_are_registered():
+    names = set(contract.queries())
+    assert set(QUERIES) | {"pipeline"} <= names
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_columns(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).columns == COLUMNS[name]
