@@ -9,7 +9,8 @@ In a bucket only the pairs with its centre, the smallest document, are candidate
 with the bucket, not with its square.  All candidates are confirmed on the full shingle sets.  What the
 star leaves open is handled exactly: in a bucket whose documents are not yet of one component, every
 document outside the largest component is compared with all others by signature, in tiles of bounded
-size, and pairs whose signatures allow a link are confirmed on the full sets as well.
+size.  Pairs whose signatures allow a link, and for sets of up to SKETCH shingles also the low 16 bits of
+all their hashes, which can only overstate a similarity, are confirmed on the full sets as well.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ TILE = 512
 #: Pairs of a tile are confirmed if at least this many of the 160 signature values agree.  At a
 #: similarity of 0.75 fewer agree with a probability below 1e-4 (120 expected, deviation 5.5).
 AGREE = 98
+#: Sets of at most so many shingles carry the low 16 bits of their hashes.
+SKETCH = 400
 
-SETS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"
+SETS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary, sketch binary"
 
 
 def probe_table() -> np.ndarray:
@@ -84,6 +87,7 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signed([mixed(s, 2).sum(dtype=np.uint64) for s in sets]),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), signed(keys.ravel())),
                 pa.array(sigs, pa.binary()),
+                pa.array([s.astype(np.uint16).tobytes() if len(s) <= SKETCH else b"" for s in sets], pa.binary()),
             ],
             [c.split()[0] for c in SETS.split(", ")],
         )
@@ -100,7 +104,7 @@ def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Similarity of two sorted distinct arrays is at least ``percent`` hundredths."""
+    """Similarity of two distinct arrays is at least ``percent`` hundredths; repeats within one can only overstate it."""
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large or not small:
         return False
@@ -130,11 +134,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return stage(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
 
 
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each tile pair; rows come sorted by (key, i, j)."""
 
     def pairs(group: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j, _, _, _, band, centre, _, _ = group[0]
+        _, i, j, _, _, _, band, centre, *_ = group[0]
         first = [g for g in group if g[3] == i]
         second = first if i == j else [g for g in group if g[3] == j]
         if not first or not second:
@@ -158,10 +162,16 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.nonzero(open_)
             x += at
             own = (b1[x] == b2[y]).argmax(axis=1) == band  # each pair in the first band that it shares
-            found += zip(np.minimum(n1[x], n2[y])[own].tolist(), np.maximum(n1[x], n2[y])[own].tolist(), strict=True)
+            for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True):
+                if possible(first[p][10], second[q][10]):
+                    found.append((min(first[p][4], second[q][4]), max(first[p][4], second[q][4])))
         return found
 
-    names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "sig", "bands"]
+    def possible(a: bytes, b: bytes) -> bool:
+        """A link of two sets by their sketches: equal hashes have equal low bits."""
+        return not a or not b or linked(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), percent)
+
+    names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "sig", "bands", "sketch"]
     group, out = [], []
 
     def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -181,7 +191,11 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(out)
 
 
-def open_pairs(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+def _compare(percent: int):
+    return lambda batches: _candidates(batches, percent)
+
+
+def open_pairs(buckets: DataFrame, nodes: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs that the stars left open: in one bucket, of different components, alike by signature.
 
     ``buckets``: key, band, node, centre, size of every bucket of two or more.  Only buckets of three or
@@ -204,9 +218,9 @@ def open_pairs(buckets: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFr
     last = F.when(inside, F.col("rest_tiles")).otherwise(F.col("rest_tiles") + F.col("big_tiles")) - 1
     rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "band", "centre")
-    rows = rows.join(nodes.select("node", "sig", "bands"), "node")
-    rows = rows.select("key", "i", "j", "tile", "node", "comp", F.col("band").cast("int"), "centre", "sig", "bands")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long")
+    rows = rows.join(nodes.select("node", "sig", "bands", "sketch"), "node")
+    rows = rows.select("key", "i", "j", "tile", "node", "comp", F.col("band").cast("int"), "centre", "sig", "bands", "sketch")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent), "a long, b long")
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -223,7 +237,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("node"))
     groups = stage(groups, "groups")
     # A node has one row, or several where its doc_id has several texts.
-    nodes = sets.join(groups, digest).where("doc_id = node").select("node", "bands", "sig").distinct()
+    nodes = sets.join(groups, digest).where("doc_id = node").select("node", "bands", "sig", "sketch").distinct()
     nodes = stage(nodes, "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     stars = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -231,7 +245,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     first = confirmed(pairs, docs, percent)
     found = components(first)
-    second = confirmed(open_pairs(buckets, nodes, found).distinct(), docs, percent)
+    second = confirmed(open_pairs(buckets, nodes, found, percent).distinct(), docs, percent)
     found = components(first.union(second))
     out = sets.join(groups, digest, "left").join(found, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
