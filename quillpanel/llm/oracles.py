@@ -1,3 +1,167 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express: rules, vectors, mixing and near copies."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from quillpanel.llm import cosine, minhash, mixing, rules
+
+WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: node and smallest node reachable over the links (a, b), given in both directions.
+REACHABLE = """
+reach(node, other) as (
+  select distinct a, a from links
+  union
+  select r.node, l.b from reach r join links l on l.a = r.other
+),
+components as (select node, min(other) as component from reach group by node)
+"""
+
+
+def rules_sql() -> str:
+    """The figures, then one query step for each round of the estimation."""
+    names = [r.name for r in rules.RULES]
+    without = lambda column, characters: f"length(translate({column}, {characters}, ''))"
+    steps = [
+        f"""d as (select doc_id, row_number() over () as row, coalesce(text, '') as text from documents),
+w as (select row, doc_id, text, {WORDS.format("text")} as w, list_filter(string_split(text, chr(10)), lambda x: translate(x, {SPACES}, '') <> '') as l from d),
+triples as (
+  select row, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] as t
+  from (select row, w, unnest(range(1, len(w) - 1)) as k from w)
+),
+twice as (select row, k from (select *, count(*) over (partition by row, t) as n from triples) where n > 1),
+covered as (select row, count(distinct p) as n from (select row, unnest([k, k + 1, k + 2]) as p from twice) group by row),
+f as (
+  select w.doc_id, len(w)::bigint as n_words, {without("text", SPACES)}::bigint as word_chars,
+    (length(text) - {without("text", f"'{rules.SYMBOLS}'")})::bigint as n_symbols, len(l)::bigint as n_lines,
+    (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+    length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g'))::bigint as n_capitals,
+    length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'))::bigint as n_marks,
+    (length(text) - {without("text", "'.!?'")})::bigint as n_stops
+  from w left join covered c using (row)
+),
+v as (select *, {", ".join(f"{r.sql} as {r.name}" for r in rules.RULES)} from f),
+patterns as materialized (select {", ".join(names)}, count(*) as n from v group by all)"""
+    ]
+    first = rules.start(rules.RULES)
+    values = [f"{first.prior}::double as prior"]
+    for i in range(len(names)):
+        values += [f"{x}::double as {c}{i}" for c, x in zip(("gg", "gb", "bg", "bb"), (*first.on_good[i], *first.on_bad[i]), strict=True)]
+    steps.append(f"e0 as (select {', '.join(values)})")
+    odds = "ln(prior / (1 - prior)) + " + " + ".join(
+        f"case {n} when 1 then ln(gg{i} / bg{i}) when -1 then ln(gb{i} / bb{i}) else ln((1 - gg{i} - gb{i}) / (1 - bg{i} - bb{i})) end" for i, n in enumerate(names)
+    )
+    right = lambda s, of: f"least({rules.MOST}, greatest({rules.LEAST}, (coalesce({s}, 0) + {rules.PSEUDO * rules.RIGHT}) / ({of} + {rules.PSEUDO})))"
+    wrong = lambda s, of, there: f"least(greatest({rules.LEAST / 2}, (coalesce({s}, 0) + {rules.PSEUDO * rules.WRONG}) / ({of} + {rules.PSEUDO})), {rules.WORST} * {there})"
+    for k in range(1, rules.ITERATIONS + 1):
+        sums = [f"sum({c}) filter ({n} = {v}) as {c}{s}{i}" for i, n in enumerate(names) for c in "gb" for v, s in ((1, "g"), (-1, "b"))]
+        steps.append(
+            f"s{k} as (select sum(g) as g, sum(b) as b, {', '.join(sums)} from "
+            f"(select *, n - g as b from (select p.*, n / (1 + exp(-({odds}))) as g from patterns p cross join e{k - 1})))"
+        )
+        prior = f"least({rules.PRIOR_HIGH}, greatest({rules.PRIOR_LOW}, (g + {rules.PSEUDO * rules.PRIOR}) / (g + b + {rules.PSEUDO})))"
+        new = []
+        for i in range(len(names)):
+            good, bad = right(f"gg{i}", "g"), right(f"bb{i}", "b")
+            new += [f"{good} as gg{i}", f"least({wrong(f'gb{i}', 'g', bad)}, 0.99 - {good}) as gb{i}"]
+            new += [f"least({wrong(f'bg{i}', 'b', good)}, 0.99 - {bad}) as bg{i}", f"{bad} as bb{i}"]
+        steps.append(f"e{k} as materialized (select {prior} as prior, {', '.join(new)} from s{k})")
+    return f"""with {", ".join(steps)}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and quality >= {rules.KEEP} as kept, round(quality, 6) as quality
+from (select v.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 1 / (1 + exp(-({odds}))) as quality from v cross join e{rules.ITERATIONS})"""
+
+
+VECTORS = f"""with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+n as (select *, sqrt(list_dot_product(e, e)) as norm from v),
+links as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {cosine.THRESHOLD}
+),
+{REACHABLE}
+select m.vec_id, (select count(*) from links l where l.a = m.vec_id) as n_links, coalesce(c.component, m.vec_id) as component_id,
+  coalesce(c.component, m.vec_id) = m.vec_id as kept
+from embeddings m left join components c on c.node = m.vec_id"""
+
+NEAR_COPIES = f"""with recursive w as (select doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[k : k + {minhash.SHINGLE - 1}], ' ') as t
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {minhash.SHINGLE - 2}, 2))) as k from w where len(w) > 0)
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.t = b.t and a.doc_id <> b.doc_id group by all),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {minhash.PERCENT} * (x.n + y.n - c)),
+{REACHABLE}
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component, d.doc_id) as component_id, coalesce(c.component, d.doc_id) = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join components c on c.node = d.doc_id"""
+
+
+def mixing_sql() -> str:
+    """Targets, draws, permutation rounds and the join of slots with blocks."""
+    p, seed, block, slots = mixing.PRIME, mixing.SEED, mixing.BLOCK, mixing.SHARD_SLOTS
+    weights = ", ".join(f"{float(w)}" for w in mixing.WEIGHTS)
+    draws = []
+    for side in ("high", "low"):
+        previous = "shards" if side == "high" else "u_high"
+        draws.append(f"""t_{side} as (select *, floor({side} * n)::bigint as st_{side} from {previous}),
+a_{side} as (select *, (st_{side} * 48271 + salt) % {p} as a_{side} from t_{side}),
+b_{side} as (select *, (a_{side} * a_{side} + salt) % {p} as b_{side} from a_{side}),
+c_{side} as (select *, (b_{side} * b_{side} + a_{side}) % {p} as c_{side} from b_{side}),
+u_{side} as (select *, st_{side} + (((c_{side} * 69621 + b_{side}) % {p}) / {p}::double < {side} * n - st_{side})::bigint as below_{side} from c_{side})""")
+    turns = []
+    for r in range(1, mixing.ROUNDS + 1):
+        a, b, s = (pow(g, r + 4, p) for g in (48271, 69621, 16807))
+        turns.append(f"""o{r} as (select *, (key * {a} + {b} + n_blocks - place) % n_blocks as other from p{r - 1}),
+m{r} as (select *, (greatest(place, other) * 48271 + key + {s}) % {p} as mark from o{r}),
+p{r} as (select k, n_blocks, key, case when ((mark * mark) % {p}) & 1024 <> 0 then other else place end as place from m{r})""")
+    return f"""with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")})::bigint as size from documents),
+totals as (select source, count(*) as n_docs, sum(size)::bigint as source_size from d group by source),
+ranked as (select *, row_number() over (order by source asc nulls last) as k from totals),
+weighed as (select *, list_extract([{weights}]::double[], (k - 1) % {len(mixing.WEIGHTS)} + 1) as weight, source_size * {float(mixing.MOST)} as cap from ranked),
+levels as (
+  select *, ((select sum(source_size) from weighed) * {mixing.SHARE} - coalesce(sum(cap) over before, 0)) / ((select sum(weight) from weighed) - coalesce(sum(weight) over before, 0)) as level
+  from weighed window before as (order by cap / weight, k rows between unbounded preceding and 1 preceding)
+),
+targets as (select k, source, n_docs, source_size, round(least(cap, (select max(level) from levels) * weight), 6) as target from levels),
+blocks as (select *, ceil(source_size / {block})::bigint as n_blocks from targets where source_size > 0),
+wanted as (select *, target * n_blocks / source_size as wanted from blocks),
+shares as (
+  select *, case when k = (select max(k) from wanted) then 1.0 else sum(wanted) over (order by k) / (select sum(wanted) from wanted) end as high_,
+    sum(wanted) over (order by k) / (select sum(wanted) from wanted) as raw, ceil((select sum(wanted) from wanted))::bigint as slots
+  from wanted
+),
+bounds as (select * exclude (high_, raw), high_ as high, coalesce(lag(raw) over (order by k), 0.0) as low from shares),
+shards as (
+  select *, least({slots}, slots - shard * {slots}) as n, ({seed} + shard * 7919) % {p} as salt
+  from (select *, unnest(range(0, (slots - 1) // {slots} + 1)) as shard from bounds)
+),
+{", ".join(draws)},
+counts as (select k, n_blocks, shard, below_high - below_low as count from u_low),
+numbered as (select *, coalesce(sum(count) over (partition by k order by shard rows between unbounded preceding and 1 preceding), 0)::bigint as first from counts),
+slots as (select k, n_blocks, i from (select k, n_blocks, unnest(range(first, first + count)) as i from numbered) where i < n_blocks * {mixing.MOST}),
+p0 as (select k, n_blocks, ({seed} + k * 104729 + (i // n_blocks) * 1299709) % {p} as key, i % n_blocks as place from slots),
+{", ".join(turns)},
+drawn as (select k, place as block, count(*) as times from p{mixing.ROUNDS} group by all),
+placed as (
+  select *, coalesce(sum(size) over (partition by k order by bucket, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from (select d.*, t.k, t.source_size, t.target, d.doc_id % ceil(t.n_docs / {mixing.BUCKET_DOCS})::bigint as bucket, row_number() over () as row
+        from d join targets t on d.source is not distinct from t.source)
+),
+parts as (select row, k, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) as block from placed where size > 0),
+taken as (
+  select row, sum((least(start + size, (p.block + 1) * {block}) - greatest(start, p.block * {block})) * times)::bigint as taken
+  from parts p join drawn w on w.k = p.k and w.block = p.block group by row
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join taken using (row)"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_rules": rules_sql(),
+    "op5_cosine": VECTORS,
+    "op8_mixing": mixing_sql(),
+    "op10_minhash": NEAR_COPIES,
+}
