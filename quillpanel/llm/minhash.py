@@ -39,6 +39,9 @@ AGREE = 98
 #: Sets of at most so many shingles carry the low 16 bits of their hashes.
 SKETCH = 400
 
+#: Lists of ids up to this length are sent to every task (16 MB); with longer ones the texts move to meet them.
+MOST_IDS = 1_000_000
+
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary, sketch binary"
 
 
@@ -124,9 +127,16 @@ def _confirm(percent: int):
     return run
 
 
+def listed(ids: DataFrame) -> DataFrame:
+    """``ids`` stored; marked for every task if their number, which is counted, allows it."""
+    ids = stage(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (a, b) of doc_ids whose full shingle sets are similar; stored."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = stage(pairs, "pairs")
+    needed = listed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, set binary")
     sets = sets.distinct()  # of repeated rows; a doc_id with several texts has several sets
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
@@ -259,8 +269,11 @@ def without_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Of rows that repeat the kept doc_id the one with the smallest text stays; rows without shingles stay, and
     so do rows with a null doc_id.
     """
-    kept = near_copies(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left").where("doc_id is null or _kept_id is not null")
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.col("text").asc_nulls_first()))
-    return rows.withColumn("_place", place).where("_place = 1 or doc_id is null").drop("_place", "_kept_id")
+    found = near_copies(docs, percent).where("doc_id is not null").groupBy("doc_id")
+    kept = found.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept")
+    kept = listed(kept.select(F.col("doc_id").alias("_kept_id"), "_rows"))
+    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left")
+    once = rows.where("doc_id is null or _rows = 1")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    again = rows.where("_rows > 1").withColumn("_place", place).where("_place = 1").drop("_place")
+    return once.union(again).drop("_kept_id", "_rows")
