@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillpanel.llm.batches import column, slices, utf8
+from quillpanel.session import stage
 
 BITS = 15
 GRAMS = (2, 3, 4)
@@ -29,6 +30,8 @@ BATCH = 64
 SEED = 11
 #: Bound of the training sample: texts over all languages, and short examples cut from each.
 SAMPLE_TEXTS = 2400
+#: Largest sample whose ids are sent to every executor.
+MOST_SAMPLED = 200_000
 CUTS, CUT_WORDS = 5, 12
 #: Share of the sample that calibrates, and the share of wrong ones allowed among what is not rejected.
 HELD = 0.2
@@ -192,7 +195,11 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("part", F.least(F.lit(1.0), texts / F.count(F.lit(1)).over(_all()) / F.col("n")))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < F.col("part") * (1 << 20)
-    sample = labelled.join(sizes.select("lang", "part"), "lang").where(drawn).select("doc_id", "lang", "text")
+    chosen = labelled.select("doc_id", "lang").join(sizes.select("lang", "part"), "lang").where(drawn)
+    chosen = stage(chosen.select(F.col("doc_id").alias("_chosen")).distinct(), "sample")
+    if chosen.count() <= MOST_SAMPLED:  # then the texts need not move to meet it
+        chosen = F.broadcast(chosen)
+    sample = labelled.join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi")
     found = sample.mapInArrow(_features, "doc_id long, lang string, keys array<int>, counts array<int>").toArrow().to_pylist()
     # The order of rows is that of the tasks' results; sorted, the descent is the same each time.
     found.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, len(r["keys"]), r["keys"][:4]))
