@@ -135,7 +135,9 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
 
     counts = shards.withColumn("count", drawn_below(F.col("high")) - drawn_below(F.col("low")))
     counts = sums_before(counts.select("k", "n_blocks", "chunk", "shard", "count"), ["k", "n_blocks"], "chunk", [F.col("shard")], "count", "first")
-    slots = counts.where("count > 0").select(
+    # A few small rows make many slots: dealt out by number, or they would be put together in one task.
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = counts.where("count > 0").repartition(tasks, "k", "shard").select(
         "k", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("i")
     )
     slots = slots.where(F.col("i") < F.col("n_blocks") * most)
