@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillpanel.llm.batches import column, slices, utf8
-from quillpanel.llm.words import U, mixed
+from quillpanel.llm.words import U
 from quillpanel.session import stage
 
-ITERATIONS = 3
+ITERATIONS = 2
 #: Uses that each piece has in advance.
 PSEUDO = 0.05
 #: Bound of the list of frequent words that every task holds.
@@ -76,25 +76,28 @@ def start_weights(scores: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Edges of many words at once."""
+    """Edges of many words at once.  ``table`` is that of an earlier Lattice of the same pieces."""
 
-    def __init__(self, pieces: list[bytes]):
-        self.number = {p: i for i, p in enumerate(pieces)}
+    def __init__(self, pieces: list[bytes], table: tuple[np.ndarray, np.ndarray] | None = None):
+        self.pieces, self.number = pieces, {p: i for i, p in enumerate(pieces)}
+        self.keys, self.values = table or self._table()
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all pieces and what begins them, by open addressing, with the piece's number or -1."""
         value: dict[int, int] = {}
-        for p, i in self.number.items():
+        for p in self.pieces:
             for n in range(1, len(p)):
                 value.setdefault(self._hash(p[:n]), -1)
-        for p, i in self.number.items():
+        for i, p in enumerate(self.pieces):
             value[self._hash(p)] = i
-        keys = np.array(list(value), U)
-        bits = int(4 * len(keys)).bit_length()
-        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
-        for k, v in value.items():
-            at = int(self._place(np.array([k], U))[0])
+        size = 1 << int(4 * len(value)).bit_length()
+        self.keys = np.zeros(size, U)
+        values = np.full(size, -1, np.int32)
+        for at, (k, v) in zip(self._place(np.array(list(value), U)).tolist(), value.items(), strict=True):
             while self.keys[at]:
-                at = (at + 1) & self.mask
-            self.keys[at], self.values[at] = k, v
+                at = (at + 1) & (size - 1)
+            self.keys[at], values[at] = k, v
+        return self.keys, values
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -104,55 +107,61 @@ class Lattice:
         return h
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) >> self.shift).astype(np.int64)
+        return ((keys * U(0x9E3779B97F4A7C15)) >> U(65 - len(self.keys).bit_length())).astype(np.int64)
 
     def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash begins a piece, and the piece it is (-1: none)."""
         at = self._place(keys)
         there = self.keys[at]
-        open_ = np.flatnonzero((there != keys) & (there != 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & self.mask
-            there[open_] = self.keys[at[open_]]
-            open_ = open_[(there[open_] != keys[open_]) & (there[open_] != 0)]
         found = there == keys
+        open_ = np.flatnonzero(~found & (there != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[open_]]
+            found[open_] = there == keys[open_]
+            open_ = open_[~found[open_] & (there != 0)]
         return found, np.where(found, self.values[at], -1)
 
     def edges(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(begin, end, rows, pieces) over all words of one length, by begin."""
-        n, length = words.shape
+        letters = np.ascontiguousarray(words.T).astype(U) + U(1)
+        length, n = letters.shape
         out = []
         for begin in range(length):
-            rows, h = np.arange(n), np.zeros(n, U)
+            rows, h = np.arange(n), letters[begin]
             for end in range(begin + 1, min(begin + LONGEST_PIECE, length) + 1):
-                h = h * BASE + words[rows, end - 1].astype(U) + U(1)
+                if end > begin + 1:
+                    h = h * BASE + letters[end - 1][rows]
                 found, piece = self._look(h)
-                whole = piece >= 0
-                if whole.any():
+                whole = np.flatnonzero(piece >= 0)
+                if len(whole):
                     out.append((begin, end, rows[whole], piece[whole]))
                 if not found.any():
                     break
                 rows, h = rows[found], h[found]
         return out
 
-    def forward(self, shape: tuple[int, int], edges: list, log_p: np.ndarray) -> np.ndarray:
-        a = np.full((shape[0], shape[1] + 1), -np.inf)
-        a[:, 0] = 0
-        for begin, end, rows, piece in edges:
-            a[rows, end] = np.logaddexp(a[rows, end], a[rows, begin] + log_p[piece])
+    @staticmethod
+    def forward(n: int, length: int, edges: list, log_p: np.ndarray, backward: bool = False) -> list[np.ndarray]:
+        """Per position the log sum over all ways from the words' begin to it, or from it to the words' end."""
+        a = [np.full(n, -np.inf) for _ in range(length + 1)]
+        a[length if backward else 0][:] = 0
+        for begin, end, rows, piece in reversed(edges) if backward else edges:
+            to, of = (a[begin], a[end]) if backward else (a[end], a[begin])
+            if len(rows) == n:
+                np.logaddexp(to, of + log_p[piece], out=to)
+            else:
+                to[rows] = np.logaddexp(to[rows], of[rows] + log_p[piece])
         return a
 
     def expected(self, words: np.ndarray, counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in all ``words``, each ``counts`` times."""
         edges = self.edges(words)
-        a = self.forward(words.shape, edges, log_p)
-        b = np.full_like(a, -np.inf)
-        b[:, -1] = 0
-        for begin, end, rows, piece in reversed(edges):
-            b[rows, begin] = np.logaddexp(b[rows, begin], log_p[piece] + b[rows, end])
+        a, b = (self.forward(*words.shape, edges, log_p, way) for way in (False, True))
         uses = np.zeros(len(log_p))
+        scale = np.log(counts) - a[-1]
         for begin, end, rows, piece in edges:
-            share = np.exp(a[rows, begin] + log_p[piece] + b[rows, end] - a[rows, -1]) * counts[rows]
+            share = np.exp(a[begin][rows] + log_p[piece] + b[end][rows] + scale[rows])
             uses += np.bincount(piece, share, len(log_p))
         return uses
 
@@ -189,7 +198,7 @@ def word_scores(words: list[bytes], lattice: Lattice, log_p: np.ndarray) -> np.n
     """Natural logarithm of each word's probability over all segmentations."""
     out = np.zeros(len(words))
     for own, block in _by_length(words):
-        out[own] = lattice.forward(block.shape, lattice.edges(block), log_p)[:, -1]
+        out[own] = lattice.forward(*block.shape, lattice.edges(block), log_p)[-1]
     for i, w in enumerate(words):
         if len(w) > LONG_WORD:
             w = BLANK + w
@@ -219,29 +228,28 @@ def split_words(text: bytes) -> list[bytes]:
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with how often training texts have them (0: only others do)."""
-    counts: dict[bytes, int] = {}
+    counts: Counter[bytes] = Counter()
 
     def batch_of(c: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
 
     for batch in slices(batches):
         for text, held in zip(utf8(column(batch, "text")), column(batch, "held_out"), strict=True):
+            words = split_words(text)
             if held:
-                for w in split_words(text):
-                    counts.setdefault(w, 0)
+                dict.update(counts, dict.fromkeys([w for w in words if w not in counts], 0))
             else:
-                for w in split_words(text):
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(words)
         if len(counts) > FLUSH_WORDS:
             yield batch_of(counts)
-            counts = {}
+            counts = Counter()
     yield batch_of(counts)
 
 
-def _uses(shared):
+def _uses(shared, weights):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, log_p = shared.value
-        lattice, uses = Lattice(pieces), np.zeros(len(pieces))
+        lattice, log_p = Lattice(*shared.value), weights.value
+        uses = np.zeros(len(log_p))
         for batch in slices(batches, rows=100_000):
             uses += word_uses(column(batch, "word"), batch.column(1).to_numpy().astype(np.float64), lattice, log_p)
         k = np.flatnonzero(uses)
@@ -250,10 +258,9 @@ def _uses(shared):
     return run
 
 
-def _score_words(shared):
+def _score_words(shared, weights):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, log_p = shared.value
-        lattice = Lattice(pieces)
+        lattice, log_p = Lattice(*shared.value), weights.value
         for batch in slices(batches, rows=100_000):
             lp = word_scores(column(batch, "word"), lattice, log_p) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], ["word", "c", "lp"])
@@ -261,14 +268,17 @@ def _score_words(shared):
     return run
 
 
-def fit(vocab: DataFrame, ends: int, pieces: list[bytes], scores: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, float]:
-    """Log weights of the pieces, and of the end, from ``vocab`` (word, c) and the number of training texts."""
+def fit(vocab: DataFrame, ends: int, shared, scores: np.ndarray, iterations: int = ITERATIONS) -> tuple[np.ndarray, float]:
+    """Log weights of the pieces, and of the end, from ``vocab`` (word, c) and the number of training texts.
+
+    ``shared`` is a broadcast of the pieces and their lattice's table.
+    """
     spark = vocab.sparkSession
     log_p, log_end = start_weights(scores), 0.0
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast((pieces, log_p))  # the vocabulary's size
-        found = vocab.where("c > 0").mapInArrow(_uses(shared), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-        uses = np.full(len(pieces), PSEUDO)
+        weights = spark.sparkContext.broadcast(log_p)
+        found = vocab.where("c > 0").mapInArrow(_uses(shared, weights), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+        uses = np.full(len(scores), PSEUDO)
         uses[found.piece.to_numpy()] += found.uses.to_numpy()
         total = uses.sum() + ends + PSEUDO
         log_p, log_end = np.log(uses / total), float(np.log((ends + PSEUDO) / total))
@@ -298,30 +308,28 @@ def _document_rows(shared):
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in slices(batches):
             out: list[list] = [[] for _ in names]
-            rest_rows: list[int] = []
-            rest_words: list[bytes] = []
-            rest_n: list[int] = []
+            rest_rows, rest_words, rest_n = [], [], []
             for text, held, doc in zip(utf8(column(batch, "text")), column(batch, "held_out"), column(batch, "doc_id"), strict=True):
                 found = split_words(text)
                 counts = Counter(found)
-                at = [(i, n) for w, n in counts.items() if (i := place.get(w)) is not None]
-                if len(at) < len(counts):
-                    other = [(w, n) for w, n in counts.items() if w not in place]
-                    rest_rows += [row] * len(other)
-                    rest_words += [w for w, _ in other]
-                    rest_n += [n for _, n in other]
-                k, n = (np.array(x, np.int64) for x in (zip(*at, strict=True) if at else ((), ())))
+                k = np.array([place.get(w, -1) for w in counts], np.int64)
+                n = np.array(list(counts.values()), np.int64)
+                own, other = k >= 0, np.flatnonzero(k < 0)
+                if len(other):
+                    keys = list(counts)
+                    rest_words += [keys[i] for i in other.tolist()]
+                    rest_rows.append(np.full(len(other), row))
+                    rest_n.append(n[other])
+                k, n = k[own], n[own]
                 values = (row, BLANK + row.to_bytes(8, "big"), 0, doc, held, len(found) + 1, int(n.sum()) + end_known, float(n @ base[k]) + base_end, float(n @ lat[k]) + lat_end)
                 for o, v in zip(out, values, strict=True):
                     o.append(v)
                 row += 1
-            m = len(rest_rows)
-            out[0] += rest_rows
-            out[1] += rest_words
-            out[2] += rest_n
-            for o in out[3:]:
-                o += [None] * m
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
+            if rest_words:
+                none = [pa.nulls(len(rest_words), k) for k in kinds[3:]]
+                rest = [pa.array(np.concatenate(rest_rows)), pa.array(rest_words, pa.binary()), pa.array(np.concatenate(rest_n)), *none]
+                yield pa.RecordBatch.from_arrays(rest, names)
 
     return run
 
@@ -348,9 +356,11 @@ def score(docs: DataFrame, vocabulary_path: str, iterations: int = ITERATIONS, h
     train_tokens, kinds = (of["n"] or 0) + ends, (of["v"] or 0) + (ends > 0)
     room = train_tokens + 0.5 * (kinds + 1)
     pieces, scores = vocabulary(vocabulary_path)
-    log_p, log_end = fit(vocab, ends, pieces, scores, iterations)
-    shared = spark.sparkContext.broadcast((pieces, log_p))
-    scored = stage(vocab.mapInArrow(_score_words(shared), "word binary, c long, lp double"), "scored")
+    lattice = Lattice(pieces)
+    shared = spark.sparkContext.broadcast((pieces, (lattice.keys, lattice.values)))  # the vocabulary's size
+    log_p, log_end = fit(vocab, ends, shared, scores, iterations)
+    weights = spark.sparkContext.broadcast(log_p)
+    scored = stage(vocab.mapInArrow(_score_words(shared, weights), "word binary, c long, lp double"), "scored")
     top = frequent(scored, head).toArrow()
     base = lambda c: np.log10((np.asarray(c, np.float64) + 0.5) / room)
     known = (column_of(top, "word"), base(column_of(top, "c")), np.array(column_of(top, "lp"), np.float64), float(base(ends)), log_end / float(np.log(10)), int(ends > 0))
