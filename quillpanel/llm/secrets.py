@@ -30,8 +30,16 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
-PEM = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----"
+PEM = r"(?s)-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----"
 BASE64 = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}"
+RUN, BREAK = r"[A-Za-z0-9+/_-]+", r"(?:\\+[rn]|\s)+"
+#: Where a key may begin inside a run: a sequence of 128 bytes or more anywhere, a shorter one at the run's begin or
+#: after a separator, and the first signs of openssh's magic, of armour and of a token's header.
+STARTS = r"(?:MI[E-L]|(?<![A-Za-z0-9])M[B-H]|b3BlbnNzaC1rZXktdj|LS0tLS1CRUdJT|ZXlK)(?=[A-Za-z0-9+/_-]{16})"
+LINE_END = r"[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+"
+#: A run and, while its lines are of 40 signs or more, the next whole line.
+WRAPPED = rf"(?:[A-Za-z0-9+/_-]{{40,}}{LINE_END}(?={RUN}={{0,2}}(?:[\r\n\\\"',]|$)))*{RUN}={{0,2}}"
+LEAST_DER = 30
 UPPER_HEX = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])"
 MARK = "[secret]"
 
@@ -136,20 +144,68 @@ def is_secret_data(data: bytes | None) -> bool:
 
 
 def is_key_block(match: re.Match) -> bool:
-    body = match[2]
-    if "\n\n" in body.strip() or ":" in body:  # headers of older armour, such as DEK-Info
-        body = body.strip().rpartition("\n\n")[2] if "\n\n" in body.strip() else body
-        data = unbase64(body)
-        return bool(data) and "ENCRYPTED" in match[2]
-    data = unbase64(body)
-    return bool(data) and (is_key_der(data) or is_openssh(data))
+    """The body decodes to a key; one with headers that say so may be encrypted.  Line ends may be escaped."""
+    lines = [x.strip() for x in re.sub(r"\\+[rn]", "\n", match[2]).replace("\\/", "/").splitlines()]
+    headers = [x for x in lines if ":" in x]  # of older armour, such as DEK-Info
+    data = unbase64("".join(x for x in lines if ":" not in x))
+    if not data:
+        return False
+    return is_key_der(data) or is_openssh(data) or any("ENCRYPTED" in x for x in headers)
+
+
+_run, _break = re.compile(RUN), re.compile(BREAK)
+
+
+def der_end(text: str, at: int) -> int | None:
+    """Where the base64 of a key that begins at ``at`` ends, by the length it states; line ends inside are passed over."""
+    head = unbase64(text[at : at + 8])
+    if not head or len(head) < 6 or head[0] != 0x30 or not (head[1] < 0x80 or head[1] in (0x81, 0x82)):
+        return None
+    width = max(head[1] - 0x80, 0)
+    size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+    if size < LEAST_DER or head[2 + width] not in (0x02, 0x30):
+        return None
+    left, parts = -(-size * 4 // 3), []
+    while left:
+        run = _run.match(text, at, at + left)
+        if not run:
+            return None
+        parts.append(run[0])
+        at, left = run.end(), left - len(run[0])
+        if left:
+            gap = _break.match(text, at)
+            if not gap:
+                return None
+            at = gap.end()
+    data = unbase64("".join(parts))
+    if not data or not is_key_der(data):
+        return None
+    return at + len(re.match("={0,2}", text[at : at + 2])[0])
 
 
 class Scanner:
     """Spans (kind, start, end) of one text in code points, by start and then in the order of KINDS."""
 
     def __init__(self):
-        self.find = {k: re.compile(p).finditer for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("jwt", JWT), ("pem", PEM), ("b64", BASE64), ("upper", UPPER_HEX))}
+        self.find = {k: re.compile(p).finditer for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("jwt", JWT), ("pem", PEM), ("b64", BASE64), ("start", STARTS), ("upper", UPPER_HEX))}
+        self.wrapped = re.compile(WRAPPED).match
+
+    def inner_keys(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """Keys that are wrapped over lines, or begin inside a run."""
+        done = 0
+        for m in self.find["start"](text):
+            at = m.start()
+            if at < done:
+                continue
+            if text[at] == "M":
+                end = der_end(text, at)
+            else:
+                whole = self.wrapped(text, at)
+                signs = re.sub(BREAK, "", whole[0]).rstrip("=")
+                end = whole.end() if is_secret_data(unbase64(signs[: len(signs) - (len(signs) % 4 == 1)])) else None
+            if end:
+                done = end
+                yield "key", at, end
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         spans = []
@@ -164,6 +220,7 @@ class Scanner:
         if "-----BEGIN " in text:
             spans += [("pem", m.start(), m.end()) for m in self.find["pem"](text) if is_key_block(m)]
         keys = [("key", m.start(), m.end()) for m in self.find["b64"](text) if is_secret_data(unbase64(m[0]))]
+        keys += [k for k in self.inner_keys(text) if not any(s[1] <= k[1] and k[2] <= s[2] for s in keys)]
         for m in self.find["upper"](text):
             if len(m[0]) % 2 == 0 and is_secret_data(bytes.fromhex(m[0])):
                 keys.append(("key", m.start(), m.end()))

@@ -61,6 +61,29 @@ def test_confirmed_kinds():
     assert not secrets.is_key_der(RSA[:-1]) and not secrets.is_key_der(RSA + b"\0") and not secrets.is_jwt("a.b.c")
 
 
+def test_other_forms_of_keys():
+    body = base64.encodebytes(RSA).decode()
+    plain = base64.b64encode(RSA).decode()
+    short = base64.b64encode(der(0x30, der(2, b"\0") + der(0x30, der(6, b"+ep")) + der(4, der(4, b"k" * 32)))).decode()
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0\0\0\0\1" + b"p" * 90).decode()
+    armour = base64.encodebytes(PEM.encode()).decode()
+    encrypted = PEM.replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n", 1)
+    encrypted = encrypted.replace(body, base64.encodebytes(b"\x91" * 160).decode())
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.Scanner()(t) if k in secrets.KINDS[3:]]
+    for t in (encrypted, encrypted.replace("\n", "\r\n"), PEM.replace("\n", "\\n"), PEM.replace("\n", "\\r\\n"), encrypted.replace("\n", "\\n")):
+        assert found(f'"private_key": "{t}", a - b') == [("pem", t)]
+    for t in (body.strip(), body.strip().replace("\n", "\\n"), "\n".join(plain[i : i + 64] for i in range(0, len(plain), 64)), plain, short):
+        for before in ("", "keys/", "key-", "a_", "x ", "x\n"):
+            assert found(f"{before}{t}\nThanks for all") == [("key", t)]
+    for t in (ssh, armour.strip()):
+        for before in ("keys/", "key-", "x\n"):
+            assert found(f"{before}{t}\nThanks for all") == [("key", t)]
+    assert found("-----BEGIN RSA PRIVATE KEY-----\n" * 3 + body) == [("key", body.strip())]
+    certificate = der(0x30, der(0x30, der(2, b"z" * 90)) + der(0x30, b"") + der(3, b"s" * 90))
+    for t in (base64.encodebytes(certificate).decode(), base64.encodebytes(b"z" * 400).decode(), PEM.replace(body, "a - b: c")):
+        assert not found(f"key-{t}")
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, f"a {JWT} b", "en", "s", 5, 7, "x", 1, "own", 2, "y"), (2, None, None, None, 9, 7, "x", 1, "own", 2, "y")]
     got = secrets.redact_secrets(frame(spark, rows)).orderBy("doc_id").collect()
