@@ -27,7 +27,7 @@ from quillpanel.llm.batches import column, slices, utf8
 from quillpanel.llm.words import U
 from quillpanel.session import stage
 
-ITERATIONS = 2
+ITERATIONS = 3
 #: Uses that each piece has in advance.
 PSEUDO = 0.05
 #: Bound of the list of frequent words that every task holds.

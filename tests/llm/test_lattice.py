@@ -80,3 +80,10 @@ def test_training_helps_and_empty_tables(spark):
     total = lambda k: sum(r.score for r in L.score(frame(spark), path, iterations=k).collect() if not r.held_out)
     assert total(3) > total(0)
     assert L.score(empty(spark), path, iterations=1).count() == 0
+
+
+def test_three_rounds_unless_told(spark):
+    path = tokenizer_path(VOCABULARY)
+    scores = lambda **k: {r.doc_id: r.score for r in L.score(frame(spark), path, **k).collect() if r.doc_id is not None}
+    assert scores() == pytest.approx(scores(iterations=3))
+    assert scores() != pytest.approx(scores(iterations=2))
