@@ -8,9 +8,9 @@ bucket.  Exact copies of a set meet before as one node.
 In a bucket only the pairs with its centre, the smallest document, are candidates, so candidates grow
 with the bucket, not with its square.  All candidates are confirmed on the full shingle sets.  What the
 star leaves open is handled exactly: in a bucket whose documents are not yet of one component, every
-document outside the largest component is compared with all others by signature, in tiles of bounded
-size.  Pairs whose signatures allow a link, and for sets of up to SKETCH shingles also the low 16 bits of
-all their hashes, which can only overstate a similarity, are confirmed on the full sets as well.
+document outside the largest component is compared with all others, in tiles of bounded size: sets of up
+to SKETCH shingles by the low 16 bits of all their hashes, which can only overstate a similarity, others
+by signature.  Pairs that this allows to link are confirmed on the full sets as well.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 PROBES = 64
 TILE = 512
-#: Pairs of a tile are confirmed if at least this many of the 160 signature values agree.  At a
-#: similarity of 0.75 fewer agree with a probability below 1e-4 (120 expected, deviation 5.5).
+#: Pairs of a tile in which a set has no sketch are confirmed if at least this many of the 160 signature
+#: values agree.  Sets of more than SKETCH shingles fill most bins; at a similarity of 0.75 fewer agree
+#: with a probability below 1e-4 (120 expected, deviation 5.5).
 AGREE = 98
 #: Sets of at most so many shingles carry the low 16 bits of their hashes.
 SKETCH = 400
@@ -160,27 +161,34 @@ def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
                 np.array([g[5] for g in rows]),
                 np.frombuffer(b"".join(g[8] for g in rows), np.uint8).reshape(len(rows), -1),
                 np.array([g[9] for g in rows], np.int64),
+                [np.frombuffer(g[10], np.uint16) for g in rows],
             ))
-        (n1, c1, s1, b1), (n2, c2, s2, b2) = arrays
-        found = []
+        (n1, c1, s1, b1, k1), (n2, c2, s2, b2, k2) = arrays
+        l1, l2 = (np.array([len(x) for x in k]) for k in (k1, k2))
+        short = np.flatnonzero(l2)
+        joined, starts = np.concatenate(k2), np.cumsum(l2[short]) - l2[short]
+        there, found = np.zeros(1 << 16, bool), []
         for at in range(0, len(n1), 64):
-            agree = (s1[at : at + 64, None] == s2[None]).sum(axis=2)
-            open_ = (agree >= AGREE) & (c1[at : at + 64, None] != c2[None])
+            own_l = l1[at : at + 64, None]
+            sketched = (own_l > 0) & (l2 > 0)
+            open_ = np.where(sketched, 100 * np.minimum(own_l, l2) >= percent * np.maximum(own_l, l2), (s1[at : at + 64, None] == s2[None]).sum(axis=2) >= AGREE)
+            open_ &= c1[at : at + 64, None] != c2[None]
             open_ &= (n1[at : at + 64, None] != centre) & (n2[None] != centre)
             if i == j:
                 open_ &= n1[at : at + 64, None] < n2[None]
+            for x in np.flatnonzero((open_ & sketched).any(axis=1)):
+                # Equal hashes have equal low bits, so that this can only overstate what is common.
+                there[k1[at + x]] = True
+                common = np.minimum(np.add.reduceat(there[joined], starts, dtype=np.int64), l1[at + x])
+                open_[x, short] &= 100 * common >= percent * (l1[at + x] + l2[short] - common)
+                there[k1[at + x]] = False
             x, y = np.nonzero(open_)
             x += at
             own = (b1[x] == b2[y]).argmax(axis=1) == band  # each pair in the first band that it shares
             for p, q in zip(x[own].tolist(), y[own].tolist(), strict=True):
-                if possible(first[p][10], second[q][10]):
-                    found.append((min(first[p][4], second[q][4]), max(first[p][4], second[q][4])))
+                found.append((min(first[p][4], second[q][4]), max(first[p][4], second[q][4])))
         return found
 
-    def possible(a: bytes, b: bytes) -> bool:
-        """A link of two sets by their sketches: equal hashes have equal low bits."""
-        return not a or not b or linked(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), percent)
-
     names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "sig", "bands", "sketch"]
     group, out = [], []
 

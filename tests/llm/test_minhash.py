@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from fixtures import documents, empty, frame, prose
 from quillpanel.llm import minhash
@@ -82,6 +83,31 @@ def test_signatures():
         assert all(got[b] == v for b, v in least.items()) and set(got.tolist()) == {int(v) for v in least.values()}
 
 
+def test_short_sets_of_unlike_signatures_are_compared():
+    """Three of four shingles are common, but densified bins agree too rarely; a long set goes by its signature."""
+    edges, probes = np.array([(b << 64) // minhash.BINS for b in range(minhash.BINS)], np.uint64), minhash.probe_table()
+    rng, tried = np.random.default_rng(2), 0
+
+    def row(node, s):
+        sig = minhash.signature(s, edges, probes)
+        sketch = s.astype(np.uint16).tobytes() if len(s) <= minhash.SKETCH else b""
+        return sig, (1, 0, 0, 0, node, node, 0, 1, (sig & np.uint64(255)).astype(np.uint8).tobytes(), [7] * minhash.BANDS, sketch)
+
+    for _ in range(3000):
+        s = np.unique(rng.integers(0, 1 << 63, 4).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        (x, a), (y, b) = row(2, s), row(3, np.delete(s, 1))
+        if (x == y).sum() >= minhash.AGREE - 5:
+            continue
+        tried += 1
+        unlike = row(4, np.unique(rng.integers(0, 1 << 63, 4).astype(np.uint64)))[1]
+        long_ = [row(n, np.arange(1, 500, dtype=np.uint64) << np.uint64(55))[1] for n in (5, 6)]
+        names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "sig", "bands", "sketch"]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(a, b, unlike, *long_, strict=True)], names)
+        got = [tuple(r.values()) for out in minhash._compare(75)([batch]) for r in out.to_pylist()]
+        assert sorted(got) == [(2, 3), (5, 6)]
+    assert tried
+
+
 def test_shingles_lower_only_ascii():
     a, b, c = shingle_sets([t.lower() for t in ("A B\tC d E é".encode(), "a b c D e é".encode(), "a b c d e É".encode())], space_table())
     assert (a == b).all() and len(a) == 2 and len(np.intersect1d(a, c)) == 1
