@@ -32,7 +32,8 @@ ITERATIONS = 3
 PSEUDO = 0.05
 #: Bound of the list of frequent words that every task holds.
 HEAD = 200_000
-LONGEST_PIECE = 16
+#: A vocabulary with longer pieces is refused; sums go up to the longest piece that it has.
+LONGEST_PIECE = 256
 #: Longer words are summed one by one instead of in batches of equal length.
 LONG_WORD = 64
 BATCH = 8192
@@ -46,8 +47,7 @@ SCORES = "row long, word binary, n long, doc_id long, held_out boolean, n_tokens
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a sentencepiece file as bytes, with a blank for the word mark, and their scores.
 
-    Control and unknown pieces and those of more than LONGEST_PIECE bytes are left out; every single
-    byte is a piece, so that any text has a path.
+    Control and unknown pieces are left out; every single byte is a piece, so that any text has a path.
     """
     import sentencepiece
 
@@ -58,7 +58,9 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         text = model.id_to_piece(i)
         piece = bytes([int(text[1:-1], 16)]) if model.is_byte(i) else text.replace("▁", " ").encode()
-        if 0 < len(piece) <= LONGEST_PIECE and BLANK not in piece[1:]:
+        if len(piece) > LONGEST_PIECE:
+            raise ValueError(f"a piece of {len(piece)} bytes; at most {LONGEST_PIECE} are supported")
+        if piece and BLANK not in piece[1:]:
             found.setdefault(piece, model.get_score(i))
     least = min(found.values(), default=0.0)
     for b in range(256):
@@ -80,6 +82,7 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], table: tuple[np.ndarray, np.ndarray] | None = None):
         self.pieces, self.number = pieces, {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces))
         self.keys, self.values = table or self._table()
 
     def _table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +132,7 @@ class Lattice:
         out = []
         for begin in range(length):
             rows, h = np.arange(n), letters[begin]
-            for end in range(begin + 1, min(begin + LONGEST_PIECE, length) + 1):
+            for end in range(begin + 1, min(begin + self.longest, length) + 1):
                 if end > begin + 1:
                     h = h * BASE + letters[end - 1][rows]
                 found, piece = self._look(h)
@@ -169,7 +172,7 @@ class Lattice:
         return [
             (i, j, k)
             for i in range(len(word))
-            for j in range(i + 1, min(i + LONGEST_PIECE, len(word)) + 1)
+            for j in range(i + 1, min(i + self.longest, len(word)) + 1)
             if (k := self.number.get(word[i:j])) is not None
         ]
 

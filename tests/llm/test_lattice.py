@@ -82,6 +82,17 @@ def test_training_helps_and_empty_tables(spark):
     assert L.score(empty(spark), path, iterations=1).count() == 0
 
 
+def test_pieces_of_any_length_count():
+    pieces, scores = L.vocabulary(tokenizer_path(VOCABULARY))
+    long_ = " населения".encode()
+    assert long_ in pieces and len(pieces) == len(scores) and max(map(len, pieces)) > 16
+    log_p = np.full(len(pieces), -20.0)
+    log_p[pieces.index(long_)] = -1.0
+    lattice = L.Lattice(pieces)
+    assert L.word_scores([long_[1:]], lattice, log_p)[0] == pytest.approx(-1.0, abs=1e-3)
+    assert any(k == pieces.index(long_) for _, _, k in lattice.long_edges(long_ * 5))
+
+
 def test_three_rounds_unless_told(spark):
     path = tokenizer_path(VOCABULARY)
     scores = lambda **k: {r.doc_id: r.score for r in L.score(frame(spark), path, **k).collect() if r.doc_id is not None}
