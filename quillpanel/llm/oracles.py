@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillpanel.llm import cosine, minhash, mixing, rules
+from quillpanel.llm import cosine, minhash, mixing, repair, resampling, rules, templates
 
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -159,9 +159,162 @@ taken as (
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join taken using (row)"""
 
 
+#: The table of CRC-32, from its polynomial.
+CRC_TABLE = "crc_table as materialized (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as crc)"
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, where column ``crc`` holds the table."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def templates_sql() -> str:
+    """Rules, shapes, then one query step for each level of the tree."""
+    fits = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
+    longest_first = sorted(templates.RULES, key=lambda r: (len(r.text), r.text), reverse=True)
+    pick = lambda of: "case " + " ".join(f"when {fits(r)} then '{of(r)}'" for r in longest_first) + " end"
+    names = [k for k, _ in templates.KINDS] + ["other"]
+    kind = "case " + " ".join(f"when regexp_matches(next, '{p}') then '{k}'" for k, p in templates.KINDS) + " else 'other' end"
+    near = lambda part, whole: f"abs(b.{part} / b.{whole} - m.{part} / m.{whole}) <= {templates.SPREAD} * (1 / sqrt(b.{whole}) + 1 / sqrt(m.{whole}))"
+    figures = ["n", *[f'"{k}"' for k in names], "blocked", "labelled"]
+    steps = []
+    for at in range(1, templates.LEVELS + 2):
+        steps.append(f"""g{at} as (select *, parts[{at}] as branch, {kind} as kind from (select *, coalesce(parts[{at + 1}], '') as next from r{at - 1} where len(parts) >= {at})),
+b{at} as (
+  select host, template, branch, sum(n) as n, {", ".join(f"sum(case when kind = '{k}' then n else 0 end) as {chr(34)}{k}{chr(34)}" for k in names)},
+    sum(blocked) as blocked, sum(blocked + allowed) as labelled from g{at} group by all
+),
+m{at} as (select host, template, count(*) as branches, {", ".join(f"sum({c}) as {c}" for c in figures)} from b{at} group by all),
+t{at} as (
+  select b.host, b.template, b.branch, case when m.branches > {templates.MANY} and b.n * {templates.MANY} < m.n then '*'
+    when m.branches > 1 and (b.labelled = 0 or {near("blocked", "labelled")}) and {" and ".join(near(f'"{k}"', "n") for k in names)} then '+' else b.branch end as token
+  from b{at} b join m{at} m on b.host = m.host and b.template = m.template
+),
+r{at} as materialized (
+  select host, parts, n, blocked, allowed, template || '/' || token as template from g{at} join t{at} using (host, template, branch)
+  union all select * from r{at - 1} where len(parts) < {at}
+)""")
+    return f"""with urls as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+d as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path from urls),
+j as (
+  select *, {pick(lambda r: r.text)} as rule, {pick(lambda r: r.verdict)} as by_rule,
+    list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') as cut from d
+),
+p as (select * exclude (cut), case when len(cut) > {templates.LEVELS} then list_append(cut[1:{templates.LEVELS}], '**') else cut end as parts from j),
+r0 as (select host, parts, count(*) as n, count(*) filter (by_rule = 'block') as blocked, count(*) filter (by_rule = 'allow') as allowed, '' as template from p group by host, parts),
+{", ".join(steps)},
+leaves as (select * from r{templates.LEVELS + 1}),
+share as (select coalesce(sum(blocked) / nullif(sum(blocked + allowed), 0), 0) as share from leaves),
+bad as (
+  select host, template from leaves, share group by host, template, share
+  having sum(blocked) > 0 and (sum(blocked) + {templates.PSEUDO} * share) / (sum(blocked + allowed) + {templates.PSEUDO}) >= {templates.REJECT}
+)
+select p.page_id, p.host, p.path, p.rule, coalesce(p.by_rule, case when b.host is null then 'allow' else 'block' end) as verdict, l.template
+from p join leaves l on l.host = p.host and l.parts = p.parts left join bad b on b.host = l.host and b.template = l.template"""
+
+
+def repair_sql() -> str:
+    """Damage and faults, costs from each conversation's end, then the walk along them; lists start at 1."""
+    r = repair
+    trimmed = f"rtrim(text, {SPACES})"
+    never = 1 << 40
+    own = [  # before inserts, by state
+        f"least({r.DELETE} + v[1], keep + case letter when 's' then v[2] when 'u' then v[3] else {never} end, keep + {r.REROLE} + v[3])",
+        f"least({r.DELETE} + v[2], keep + case letter when 'u' then v[3] else {never} end, keep + {r.REROLE} + v[3])",
+        f"least({r.DELETE} + v[3], keep + case letter when 'a' then v[4] else {never} end, keep + {r.REROLE} + v[4])",
+        f"least({r.DELETE} + v[4], keep + case letter when 'u' then v[3] else {never} end, keep + {r.REROLE} + v[3])",
+    ]
+    best = f"[least(o[1], {r.INSERT} + o[3], {2 * r.INSERT} + o[4]), least(o[2], {r.INSERT} + o[3], {2 * r.INSERT} + o[4]), least(o[3], {r.INSERT} + o[4]), least(o[4], {r.INSERT} + o[3])]"
+    fits = "case when letter = 's' and s = 1 then 2 when letter = 'u' and s <> 3 then 3 when letter = 'a' and s = 3 then 4 end"
+    faults = ("blank", "duplicate", "truncated")
+    return f"""with recursive {CRC_TABLE},
+source as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 as mark from conversations, crc_table
+),
+d as (
+  select dense_rank() over (order by conv_id) as c, conv_id, turn, case mark when 4 then 'user' else role end as role,
+    case mark when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case mark when 3 then 2 else 1 end)) as copy
+  from source where mark <> 0
+),
+o as (select *, row_number() over (partition by c order by turn nulls first, role, sha256(text)) as i, substr(role, 1, 1) as letter from d),
+n as (select *, row_number() over (partition by c, role, text order by i) as nth from o),
+f as (
+  select *, case when {trimmed} = '' then 'blank' when nth > 1 then 'duplicate' when right({trimmed}, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+    lag(letter) over (partition by c order by i) as previous from n
+),
+k as materialized (select c, i, letter, role, text, case fault when 'truncated' then {r.TRUNCATED} when 'blank' then {never} when 'duplicate' then {never} else 0 end as keep from f),
+lengths as materialized (
+  select c, any_value(conv_id) as conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    {", ".join(f"count(*) filter (fault = '{x}') as {x}" for x in faults)}, count(*) filter (i > 1 and previous || letter not in ('su', 'ua', 'au')) as illegal
+  from f group by c
+),
+back(c, i, v) as (
+  select c, n + 1, {list(r.END)}::bigint[] from lengths
+  union all
+  select c, i, {best} from (select k.c, k.i, [{", ".join(own)}]::bigint[] as o from back b join k on k.c = b.c and k.i = b.i - 1)
+),
+costs as materialized (select * from back),
+walk(c, i, s, audit, lines) as (
+  select c, 1::bigint, 1, '', []::varchar[] from lengths
+  union all
+  select c, case e when 'I' then i else i + 1 end, case e when 'D' then s when 'K' then fit else forced end, audit || e,
+    case e when 'D' then lines when 'I' then list_append(lines, required || ':') when 'K' then list_append(lines, role || ':' || text) else list_append(lines, required || ':' || text) end
+  from (
+    select *, case forced when 3 then 'user' else 'assistant' end as required, case when {r.DELETE} + after[s] = here[s] then 'D' when {r.INSERT} + here[forced] = here[s] then 'I'
+      when keep + after[fit] = here[s] then 'K' when keep + {r.REROLE} + after[forced] = here[s] then 'R' end as e
+    from (
+      select w.*, k.letter, k.role, k.text, k.keep, h.v as here, a.v as after, case s when 3 then 4 else 3 end as forced, {fits} as fit
+      from walk w join lengths l on l.c = w.c join costs h on h.c = w.c and h.i = w.i
+        left join costs a on a.c = w.c and a.i = w.i + 1 left join k on k.c = w.c and k.i = w.i
+      where not (w.i > l.n and w.s in (1, 4))
+    )
+  )
+),
+done as (
+  select l.*, w.audit, w.lines, h.v[1] as cost from walk w join lengths l on l.c = w.c and w.i = l.n + 1 join costs h on h.c = w.c and h.i = 1 where w.s in (1, 4)
+)
+select a.conv_id, {", ".join(f"coalesce(d.{x}, 0)::bigint as {x}" for x in ("gaps", *faults, "illegal", "cost"))},
+  coalesce(d.audit, '') as audit, sha256(coalesce(array_to_string(d.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join done d on a.conv_id is not distinct from d.conv_id"""
+
+
+RESAMPLING = f"""with {CRC_TABLE},
+own as (
+  select doc_id, row_number() over () as row,
+    list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+),
+other as (
+  select list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+),
+own_words as materialized (select row, word, count(*) as n from (select row, unnest(w) as word from own) group by all),
+other_words as (select word, count(*) as n from (select unnest(w) as word from other) group by all),
+hashed as materialized (select word, {crc32("word")} % {resampling.BUCKETS} as bucket from (select word from own_words union select word from other_words), crc_table),
+s as (select bucket, sum(n) as s from own_words join hashed using (word) group by bucket),
+t as (select bucket, sum(n) as t from other_words join hashed using (word) group by bucket),
+totals as (select coalesce((select sum(s) from s), 0)::double as all_s, coalesce((select sum(t) from t), 0)::double as all_t),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (all_s + {resampling.BUCKETS}) / ((s::double + 1) * (all_t + {resampling.BUCKETS}))))::bigint as gain
+  from s left join t using (bucket), totals
+),
+weights as (select row, sum(n) as n, sum(n * gain) as total from own_words join hashed using (word) join gains using (bucket) group by row),
+scores as (
+  select doc_id, row, coalesce(n, 0)::bigint as n_features, coalesce(floor(total::double / n), 0)::bigint as weight,
+    ('0x' || substr(sha256(concat('{resampling.SEED}:', doc_id)), 1, 8))::bigint as h
+  from own left join weights using (row)
+),
+final as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from scores),
+able as (select row, row_number() over (order by score desc, doc_id asc nulls last, n_features) as rank, count(*) over () as n from final where n_features >= {resampling.LEAST_WORDS})
+select doc_id, n_features, weight, score, case when rank <= floor({resampling.PERCENT} * n / 100) then rank end as rank from final left join able using (row)"""
+
+
 ORACLES: dict[str, str] = {
     "op4_rules": rules_sql(),
     "op5_cosine": VECTORS,
     "op8_mixing": mixing_sql(),
     "op10_minhash": NEAR_COPIES,
+    "op11_templates": templates_sql(),
+    "op12_repair": repair_sql(),
+    "op13_resampling": RESAMPLING,
 }

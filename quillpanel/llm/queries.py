@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillpanel.llm import cosine, kneser_ney, language, lattice, minhash, mixing, packing, rules, secrets, token_orc
+from quillpanel.llm import cosine, kneser_ney, language, lattice, minhash, mixing, packing, repair, resampling, rules, secrets, templates, token_orc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,22 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near copies of all documents."""
     return minhash.near_copies(table(spark, folder, "documents"))
+
+
+@query
+def op11_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return templates.judged(table(spark, folder, "pages"))
+
+
+@query
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired text's digest of every damaged conversation."""
+    conversations = table(spark, folder, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+@query
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and rank of every document, drawn towards the benchmark's texts."""
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
