@@ -176,20 +176,26 @@ def templates_sql() -> str:
     pick = lambda of: "case " + " ".join(f"when {fits(r)} then '{of(r)}'" for r in longest_first) + " end"
     names = [k for k, _ in templates.KINDS] + ["other"]
     kind = "case " + " ".join(f"when regexp_matches(next, '{p}') then '{k}'" for k, p in templates.KINDS) + " else 'other' end"
-    near = lambda part, whole: f"abs(b.{part} / b.{whole} - m.{part} / m.{whole}) <= {templates.SPREAD} * (1 / sqrt(b.{whole}) + 1 / sqrt(m.{whole}))"
-    figures = ["n", *[f'"{k}"' for k in names], "blocked", "labelled"]
+    near = lambda part, whole: f"abs({part} / {whole} - all_{part} / all_{whole}) <= {templates.SPREAD} * (1 / sqrt({whole}) + 1 / sqrt(all_{whole}))"
+    counted = lambda k: f"sum(case when kind = '{k}' then n else 0 end) as k_{k}"
+    lead = "case " + " ".join(f"when k_{k} = greatest({', '.join(f'k_{x}' for x in names)}) then '{k}'" for k in names) + " end"
+    figures = ["branch_n", *[f"k_{k}" for k in names], "blocked", "labelled"]
     steps = []
     for at in range(1, templates.LEVELS + 2):
-        steps.append(f"""g{at} as (select *, parts[{at}] as branch, {kind} as kind from (select *, coalesce(parts[{at + 1}], '') as next from r{at - 1} where len(parts) >= {at})),
+        steps.append(f"""g{at} as (select *, {kind} as kind from (select *, parts[{at}] as branch, coalesce(parts[{at + 1}], '') as next from r{at - 1} where len(parts) >= {at})),
 b{at} as (
-  select host, template, branch, sum(n) as n, {", ".join(f"sum(case when kind = '{k}' then n else 0 end) as {chr(34)}{k}{chr(34)}" for k in names)},
-    sum(blocked) as blocked, sum(blocked + allowed) as labelled from g{at} group by all
+  select *, {lead} as lead from (
+    select host, template, branch, sum(n) as branch_n, {", ".join(map(counted, names))}, sum(blocked) as blocked, sum(blocked + allowed) as labelled from g{at} group by all
+  )
+),
+m{at} as (
+  select *, {", ".join(f"sum({c}) over of_lead as all_{c}" for c in figures)}, count(*) over of_lead as of_, sum(branch_n) over node as node_n, count(*) over node as node_of
+  from b{at} window node as (partition by host, template), of_lead as (partition by host, template, lead)
 ),
-m{at} as (select host, template, count(*) as branches, {", ".join(f"sum({c}) as {c}" for c in figures)} from b{at} group by all),
 t{at} as (
-  select b.host, b.template, b.branch, case when m.branches > {templates.MANY} and b.n * {templates.MANY} < m.n then '*'
-    when m.branches > 1 and (b.labelled = 0 or {near("blocked", "labelled")}) and {" and ".join(near(f'"{k}"', "n") for k in names)} then '+' else b.branch end as token
-  from b{at} b join m{at} m on b.host = m.host and b.template = m.template
+  select host, template, branch, case when node_of > {templates.MANY} and branch_n * {templates.MANY} < node_n then '*'
+    when of_ > 1 and (labelled = 0 or {near("blocked", "labelled")}) and {" and ".join(near(f"k_{k}", "branch_n") for k in names)} then '+' || lead else branch end as token
+  from m{at}
 ),
 r{at} as materialized (
   select host, parts, n, blocked, allowed, template || '/' || token as template from g{at} join t{at} using (host, template, branch)

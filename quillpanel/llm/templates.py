@@ -6,10 +6,10 @@ there are and how many of them rules block and allow, so the tree is built from
 after level, each node looks at its branches:
 
 * a branch that few of the node's pages take, where there are many branches, becomes the wildcard ``*``;
-* branches whose pages go on alike are merged into ``+``: their shares of the kinds of what follows (end,
-  number, number with letters, word, other), and of blocked among labelled pages where they have any, lie
-  within Hoeffding's bound of the shares of all branches of the node, each branch being compared with the
-  whole and never with each other branch;
+* branches whose pages go on alike are merged into ``+`` with the kind of what mostly follows (end, number,
+  number with letters, word, other): their shares of these kinds, and of blocked among labelled pages
+  where they have any, lie within Hoeffding's bound of the shares of all the node's branches with that
+  leading kind, each branch being compared with these together and never with each other branch;
 * others stay.
 
 Leaves with equal host and template are one template.  It is rejected if its smoothed purity, the share
@@ -22,6 +22,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillpanel.session import stage
@@ -97,22 +98,26 @@ def _level(rows: DataFrame, at: int) -> DataFrame:
     counts = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in names]
     counts += [F.sum("blocked").alias("blocked"), F.sum(F.col("blocked") + F.col("allowed")).alias("labelled")]
     branches = going.groupBy("host", "template", "branch").agg(F.sum("n").alias("branch_n"), *counts)
-    nodes = branches.groupBy("host", "template").agg(
-        F.sum("branch_n").alias("node_branch_n"), F.count(F.lit(1)).alias("node_branches"), *[F.sum(k).alias(f"node_{k}") for k in [*names, "blocked", "labelled"]]
-    )
-    n, node_n = F.col("branch_n"), F.col("node_branch_n")
+    lead = F.lit(names[-1])
+    for k in reversed(names):
+        lead = F.when(F.col(k) == F.greatest(*names), k).otherwise(lead)
+    branches = branches.withColumn("lead", lead)
+    figures = ["branch_n", *names, "blocked", "labelled"]
+    groups = branches.groupBy("host", "template", "lead").agg(F.count(F.lit(1)).alias("of"), *[F.sum(c).alias(f"all_{c}") for c in figures])
+    node = W.partitionBy("host", "template")  # a row for each leading kind
+    groups = groups.withColumn("node_n", F.sum("all_branch_n").over(node)).withColumn("node_of", F.sum("of").over(node))
 
     def near(part: str, whole: str) -> Column:
-        """Whether the branch's share of ``part`` in ``whole`` is within the bound of its node's."""
-        own, of = F.col(whole), F.col(f"node_{whole}")
-        return F.abs(F.col(part) / own - F.col(f"node_{part}") / of) <= SPREAD * (1 / F.sqrt(own) + 1 / F.sqrt(of))
+        """Whether the branch's share of ``part`` in ``whole`` is within the bound of its group's."""
+        own, of = F.col(whole), F.col(f"all_{whole}")
+        return F.abs(F.col(part) / own - F.col(f"all_{part}") / of) <= SPREAD * (1 / F.sqrt(own) + 1 / F.sqrt(of))
 
     alike = F.when(F.col("labelled") == 0, True).otherwise(near("blocked", "labelled"))
     for k in names:
         alike = alike & near(k, "branch_n")
-    variable = (F.col("node_branches") > MANY) & (n * MANY < node_n)
-    token = F.when(variable, "*").when((F.col("node_branches") > 1) & alike, "+").otherwise(F.col("branch"))
-    tokens = branches.join(nodes, ["host", "template"]).select("host", "template", "branch", token.alias("token"))
+    variable = (F.col("node_of") > MANY) & (F.col("branch_n") * MANY < F.col("node_n"))
+    token = F.when(variable, "*").when((F.col("of") > 1) & alike, F.concat(F.lit("+"), "lead")).otherwise(F.col("branch"))
+    tokens = branches.join(groups, ["host", "template", "lead"]).select("host", "template", "branch", token.alias("token"))
     on = going.join(tokens, ["host", "template", "branch"]).withColumn("template", F.concat("template", F.lit("/"), F.col("token")))
     return on.select(rows.columns)
 

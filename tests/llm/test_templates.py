@@ -55,11 +55,11 @@ def test_tree(spark):
     for r in templates.judged(pages(spark, sections + other + rare + mixed), rules).collect():
         got.setdefault((r.host, r.template), []).append(r)
     assert {h: {t for g, t in got if g == h} for h, _ in got} == {
-        "h.example.com": {"/+/#", "/static/file#/part/x"},
+        "h.example.com": {"/+number/#", "/static/file#/part/x"},
         "i.example.com": {"/user/*"},
         "j.net": {"/a/#", "/b/#"},  # labels tell these apart
     }
-    assert all(r.verdict == "block" for r in got["h.example.com", "/+/#"])
+    assert all(r.verdict == "block" for r in got["h.example.com", "/+number/#"])
     assert all(r.verdict == "allow" for r in got["h.example.com", "/static/file#/part/x"] + got["i.example.com", "/user/*"])
 
 
