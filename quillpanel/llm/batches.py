@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,8 +12,19 @@ SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows and about ``most`` bytes; a larger single row is a slice of its own."""
+def worker_tables() -> dict:
+    """What this Python worker keeps from task to task, by (kind, ...)."""
+    return sys.modules.setdefault("_quillpanel_worker", types.ModuleType("_quillpanel_worker")).__dict__
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes; a larger single row is a slice of its own.
+
+    Tables that tasks of other operators left in this worker go; those of the kind ``keep`` stay.
+    """
+    tables = worker_tables()
+    for name in [k for k in tables if isinstance(k, tuple) and k[0] != keep]:
+        del tables[name]
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -33,3 +46,16 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 def utf8(texts: list[str | None]) -> list[bytes]:
     """Texts as UTF-8; a null text is an empty one."""
     return [b"" if t is None else t.encode() for t in texts]
+
+
+def quoted(name: str) -> str:
+    """``name`` as one column, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, *taken: str) -> str:
+    """``name``, or with as many signs before it as keep it apart from ``taken``, whose case does not count."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name

@@ -5,19 +5,21 @@ are the ids of its words in order.  Most words of a corpus are repeats: each wor
 and keeps its ids in a table of bounded size.  Words of plain Latin letters, digits and signs are cut by
 the tokenizer's own pattern and go to its BPE model directly; any other word takes the library's full
 path (normalisation, special strings).  Both give what encoding the whole text gives.  A Python worker
-keeps its tables for the tasks that it runs later.
+keeps its tables for the tasks of such operators that it runs later.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-import sys
-import types
 
 import numpy as np
 
-CACHE_WORDS = 450_000
+from quillpanel.llm.batches import worker_tables
+
+#: Words, and pieces of words, whose ids are kept; longer ones than KEPT_BYTES are not, so that the tables are bounded.
+CACHE_WORDS, KEPT_BYTES = 450_000, 64
+ENCODER = "encoder"
 END_ID = 1
 
 # The tokenizer's split pattern, and the characters that take the short path
@@ -56,7 +58,9 @@ class WordEncoder:
         found = self.units.get(unit)
         if found is None:
             text = unit.decode() if unit.isascii() else "".join(map(self.letters.__getitem__, unit))
-            found = self.units[unit] = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
+            found = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
+            if len(unit) <= KEPT_BYTES:
+                self.units[unit] = found
         return found
 
     def _word(self, raw: bytes) -> bytes:
@@ -84,14 +88,16 @@ class WordEncoder:
                 if ids is None:
                     ids = self.words.get(words[i])
                     if ids is None:
-                        ids = self.words[words[i]] = self._word(words[i])
+                        ids = self._word(words[i])
+                        if len(words[i]) <= KEPT_BYTES:
+                            self.words[words[i]] = ids
                     out[i] = ids
             return b"".join(out)
 
 
 def worker_encoder(path: str) -> WordEncoder:
-    """This worker's encoder for ``path``, made by its first task."""
-    kept = sys.modules.setdefault("_quillpanel_worker", types.ModuleType("_quillpanel_worker")).__dict__
-    if ("encoder", path) not in kept:
-        kept["encoder", path] = WordEncoder(path)
-    return kept["encoder", path]
+    """This worker's encoder for ``path``, made by its first task and dropped by another operator's."""
+    tables = worker_tables()
+    if (ENCODER, path) not in tables:
+        tables[ENCODER, path] = WordEncoder(path)
+    return tables[ENCODER, path]

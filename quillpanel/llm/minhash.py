@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpanel.llm.batches import column, slices, utf8
+from quillpanel.llm.batches import column, slices, unused, utf8
 from quillpanel.llm.components import components
 from quillpanel.llm.words import mixed, shingle_sets, space_table
 from quillpanel.session import stage
@@ -272,16 +272,17 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of near copies, all columns as they are.
+    """``docs`` with one row of each group of near copies, all columns as they are, whatever their names.
 
     Of rows that repeat the kept doc_id the one with the smallest text stays; rows without shingles stay, and
-    so do rows with a null doc_id.
+    so do rows with a null doc_id.  An empty table gives an empty result.
     """
+    kept_id, n_rows, place = (unused(n, *docs.columns) for n in ("_kept_id", "_rows", "_place"))
     found = near_copies(docs, percent).where("doc_id is not null").groupBy("doc_id")
-    kept = found.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept")
-    kept = listed(kept.select(F.col("doc_id").alias("_kept_id"), "_rows"))
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left")
-    once = rows.where("doc_id is null or _rows = 1")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
-    again = rows.where("_rows > 1").withColumn("_place", place).where("_place = 1").drop("_place")
-    return once.union(again).drop("_kept_id", "_rows")
+    kept = found.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_kept")
+    kept = listed(kept.select(F.col("doc_id").alias(kept_id), F.col("_n").alias(n_rows)))
+    rows = docs.join(kept, F.col("doc_id") == F.col(kept_id), "left")
+    once = rows.where(F.col("doc_id").isNull() | (F.col(n_rows) == 1))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
+    again = rows.where(F.col(n_rows) > 1).withColumn(place, number).where(F.col(place) == 1).drop(place)
+    return once.union(again).drop(kept_id, n_rows)

@@ -101,23 +101,27 @@ from documents d left join n on n.doc_id = d.doc_id left join components c on c.
 
 
 def mixing_sql() -> str:
-    """Targets, draws, permutation rounds and the join of slots with blocks."""
+    """Targets, draws, what is drawn again, permutation rounds and the join of slots with blocks."""
     p, seed, block, slots = mixing.PRIME, mixing.SEED, mixing.BLOCK, mixing.SHARD_SLOTS
     weights = ", ".join(f"{float(w)}" for w in mixing.WEIGHTS)
-    draws = []
-    for side in ("high", "low"):
-        previous = "shards" if side == "high" else "u_high"
-        draws.append(f"""t_{side} as (select *, floor({side} * n)::bigint as st_{side} from {previous}),
-a_{side} as (select *, (st_{side} * 48271 + salt) % {p} as a_{side} from t_{side}),
-b_{side} as (select *, (a_{side} * a_{side} + salt) % {p} as b_{side} from a_{side}),
-c_{side} as (select *, (b_{side} * b_{side} + a_{side}) % {p} as c_{side} from b_{side}),
-u_{side} as (select *, st_{side} + (((c_{side} * 69621 + b_{side}) % {p}) / {p}::double < {side} * n - st_{side})::bigint as below_{side} from c_{side})""")
-    turns = []
-    for r in range(1, mixing.ROUNDS + 1):
-        a, b, s = (pow(g, r + 4, p) for g in (48271, 69621, 16807))
-        turns.append(f"""o{r} as (select *, (key * {a} + {b} + n_blocks - place) % n_blocks as other from p{r - 1}),
-m{r} as (select *, (greatest(place, other) * 48271 + key + {s}) % {p} as mark from o{r}),
-p{r} as (select k, n_blocks, key, case when ((mark * mark) % {p}) & 1024 <> 0 then other else place end as place from m{r})""")
+
+    def hashing(name: str, source: str, value: str, salt: str, out: str) -> str:
+        return f"""{name}a as (select *, ({value} * 48271 + {salt}) % {p} as h_a from {source}),
+{name}b as (select *, (h_a * h_a + {salt}) % {p} as h_b from {name}a),
+{name}c as (select *, (h_b * h_b + h_a) % {p} as h_c from {name}b),
+{name} as (select * exclude (h_a, h_b, h_c), (h_c * 69621 + h_b) % {p} as {out} from {name}c)"""
+
+    def turns(name: str, keep: str) -> str:
+        """Rounds from ``name``0 (place, n, key and ``keep``) to ``name`` and the number of rounds."""
+        out = []
+        for r in range(1, mixing.ROUNDS + 1):
+            a, b, s = mixing._round(r)
+            out.append(f"""{name}o{r} as (select *, (key * {a} + {b} + n - place) % n as other, (key + {s}) % {p} as salt from {name}{r - 1}),
+{hashing(f"{name}m{r}", f"{name}o{r}", "greatest(place, other)", "salt", "mark")},
+{name}{r} as (select {keep}, n, key, case when mark & 1024 <> 0 then other else place end as place from {name}m{r})""")
+        return ", ".join(out)
+
+    running = "rows between unbounded preceding and 1 preceding"
     return f"""with d as (select doc_id, source, len({WORDS.format("coalesce(text, '')")})::bigint as size from documents),
 totals as (select source, count(*) as n_docs, sum(size)::bigint as source_size from d group by source),
 ranked as (select *, row_number() over (order by source asc nulls last) as k from totals),
@@ -128,33 +132,48 @@ levels as (
 ),
 targets as (select k, source, n_docs, source_size, round(least(cap, (select max(level) from levels) * weight), 6) as target from levels),
 blocks as (select *, ceil(source_size / {block})::bigint as n_blocks from targets where source_size > 0),
-wanted as (select *, target * n_blocks / source_size as wanted from blocks),
-shares as (
-  select *, case when k = (select max(k) from wanted) then 1.0 else sum(wanted) over (order by k) / (select sum(wanted) from wanted) end as high_,
-    sum(wanted) over (order by k) / (select sum(wanted) from wanted) as raw, ceil((select sum(wanted) from wanted))::bigint as slots
-  from wanted
+wanted as materialized (
+  select *, row_number() over (order by k) as no, sum(wanted) over (order by k)::bigint as upto, sum(wanted) over ()::bigint as slots
+  from (select k, n_blocks, round(target * n_blocks / source_size)::bigint as wanted from blocks) where wanted > 0
+),
+bounds as (select list(floor(upto / slots::double * {p})::bigint order by no) as bounds, max(slots) as slots, count(*) as sources from wanted),
+shards as (select *, unnest(range(0, (slots - 1) // {slots} + 1)) as shard from bounds),
+each as (select bounds, sources, shard, ({seed} + shard * 7919) % {p} as salt, unnest(range(least({slots}, slots - shard * {slots}))) as slot from shards),
+{hashing("number", "each", "slot", "salt", "u")},
+drawn as materialized (select shard, least(sources, len(list_filter(bounds, lambda b: b <= u)) + 1) as no, count(*) as count from number group by all),
+owed as materialized (
+  select *, sum(less) over (order by no)::bigint as lacking from (
+    select w.no, coalesce(g.got, 0)::bigint as got, greatest(0, coalesce(g.got, 0) - wanted)::bigint as more, greatest(0, wanted - coalesce(g.got, 0))::bigint as less
+    from wanted w left join (select no, sum(count) as got from drawn group by no) g using (no)
+  )
+),
+counted as (select *, coalesce(sum(count) over (partition by no order by shard {running}), 0)::bigint as ahead from drawn join (select no, got, more from owed where more > 0) using (no)),
+given as (select * from (select shard, no, (floor(more * ((ahead + count) / got::double)) - floor(more * (ahead / got::double)))::bigint as given from counted) where given > 0),
+void as (select *, coalesce(sum(void) over (order by shard {running}), 0)::bigint as ahead from (select shard, sum(given)::bigint as void from given group by shard)),
+again0 as (
+  select shard, bounds, n, ({seed} % {p})::bigint as key, unnest(range(ahead, ahead + void)) as place
+  from void, (select max(lacking) as n, list(lacking order by no) as bounds from owed)
 ),
-bounds as (select * exclude (high_, raw), high_ as high, coalesce(lag(raw) over (order by k), 0.0) as low from shares),
-shards as (
-  select *, least({slots}, slots - shard * {slots}) as n, ({seed} + shard * 7919) % {p} as salt
-  from (select *, unnest(range(0, (slots - 1) // {slots} + 1)) as shard from bounds)
+{turns("again", "shard, bounds")},
+changes as (
+  select shard, len(list_filter(bounds, lambda b: b <= place)) + 1 as no, count(*) as count from again{mixing.ROUNDS} group by all
+  union all select shard, no, -given from given union all select shard, no, count from drawn
 ),
-{", ".join(draws)},
-counts as (select k, n_blocks, shard, below_high - below_low as count from u_low),
-numbered as (select *, coalesce(sum(count) over (partition by k order by shard rows between unbounded preceding and 1 preceding), 0)::bigint as first from counts),
-slots as (select k, n_blocks, i from (select k, n_blocks, unnest(range(first, first + count)) as i from numbered) where i < n_blocks * {mixing.MOST}),
-p0 as (select k, n_blocks, ({seed} + k * 104729 + (i // n_blocks) * 1299709) % {p} as key, i % n_blocks as place from slots),
-{", ".join(turns)},
-drawn as (select k, place as block, count(*) as times from p{mixing.ROUNDS} group by all),
+counts as (select w.k, w.n_blocks, c.* from (select shard, no, sum(count)::bigint as count from changes group by all) c join wanted w using (no) where count > 0),
+numbered as (select *, coalesce(sum(count) over (partition by k order by shard {running}), 0)::bigint as first from counts),
+slots as (select k, n_blocks, unnest(range(first, first + count)) as i from numbered),
+take0 as (select k, n_blocks as n, ({seed} + k * 104729 + (i // n_blocks) * 1299709) % {p} as key, i % n_blocks as place from slots),
+{turns("take", "k")},
+taken_blocks as (select k, place as block, count(*) as times from take{mixing.ROUNDS} group by all),
 placed as (
-  select *, coalesce(sum(size) over (partition by k order by bucket, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from (select d.*, t.k, t.source_size, t.target, d.doc_id % ceil(t.n_docs / {mixing.BUCKET_DOCS})::bigint as bucket, row_number() over () as row
+  select *, coalesce(sum(size) over (partition by k order by bucket, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from (select d.*, t.k, t.source_size, t.target, coalesce(d.doc_id, 0) % ceil(t.n_docs / {mixing.BUCKET_DOCS})::bigint as bucket, row_number() over () as row
         from d join targets t on d.source is not distinct from t.source)
 ),
 parts as (select row, k, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) as block from placed where size > 0),
 taken as (
   select row, sum((least(start + size, (p.block + 1) * {block}) - greatest(start, p.block * {block})) * times)::bigint as taken
-  from parts p join drawn w on w.k = p.k and w.block = p.block group by row
+  from parts p join taken_blocks w on w.k = p.k and w.block = p.block group by row
 )
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join taken using (row)"""
 

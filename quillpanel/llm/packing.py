@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillpanel.llm.batches import column, slices, utf8
-from quillpanel.llm.encoding import END_ID, worker_encoder
+from quillpanel.llm.encoding import ENCODER, END_ID, worker_encoder
 from quillpanel.session import stage
 
 WINDOW = 2048
@@ -193,7 +193,7 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_ids: bo
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, keep=ENCODER):
             for doc, text in zip(column(batch, "doc_id"), utf8(column(batch, "text")), strict=True):
                 ids = encoder.encode(text) + end
                 block.append((doc, ids))

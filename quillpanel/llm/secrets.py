@@ -19,8 +19,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from quillpanel.llm.batches import column, slices
+from quillpanel.llm.batches import column, quoted, slices, unused
 
 # Kinds in the order in which spans of one start are listed, and the base patterns.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
@@ -43,7 +44,7 @@ LEAST_DER = 30
 UPPER_HEX = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])"
 MARK = "[secret]"
 
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+SPANS = ArrayType(StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
 
 
 def unbase64(text: str) -> bytes | None:
@@ -239,19 +240,22 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def _scan(with_text: bool):
+    """Spans of each row's text, as its last column; ``with_text``: the redacted text stays where it was."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches):
+            at = batch.schema.get_field_index("text")
             texts = column(batch, "text")
             found = [scanner(t) if t else [] for t in texts]
             spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], kind)
-            keep = [i for i, n in enumerate(batch.schema.names) if with_text or n != "text"]
-            columns, names = [batch.column(i) for i in keep], [batch.schema.names[i] for i in keep]
+            columns = batch.columns
             if with_text:
-                at = names.index("text")
                 columns[at] = pa.array([t if not x else redact(t, x) for t, x in zip(texts, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "spans"])
+            else:
+                del columns[at]
+            yield pa.RecordBatch.from_arrays([*columns, spans], [f"c{i}" for i in range(len(columns) + 1)])
 
     return run
 
@@ -263,25 +267,21 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     scanned each; an empty table gives an empty table; other columns are ignored.
     """
     out = docs.select("doc_id", "text")
-    kind = dict(out.dtypes)["doc_id"]
-    return out.mapInArrow(_scan(False), f"doc_id {kind}, spans {SPANS}")
+    return out.mapInArrow(_scan(False), StructType([out.schema["doc_id"], StructField("spans", SPANS)]))
 
 
 def redact_secrets(docs: DataFrame, length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span of its texts replaced by a mark; all columns and rows stay.
+    """``docs`` with every span of its texts replaced by a mark; all columns, whatever their names, and rows stay.
 
-    Column ``length``, where present, is the new text's length where something was replaced.
+    Column ``length``, where present, is the new text's length where something was replaced.  A null or
+    empty text stays as it is; an empty table gives an empty one.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    spans_name = "spans" if "spans" not in docs.columns else None
-    if spans_name is None:  # an own column of that name is carried under another
-        docs = docs.withColumnRenamed("spans", "_own_spans")
-        return redact_secrets(docs, length).withColumnRenamed("_own_spans", "spans")
-    out = docs.mapInArrow(_scan(True), f"{schema}, spans {SPANS}")
+    spans = unused("spans", *docs.columns)
+    out = docs.mapInArrow(_scan(True), StructType([*docs.schema, StructField(spans, SPANS)]))
     if length and length in docs.columns:
-        kind = dict(docs.dtypes)[length]
-        out = out.withColumn(length, F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col(length)))
-    return out.drop("spans")
+        new = F.length("text").cast(docs.schema[length].dataType)
+        out = out.withColumn(length, F.when(F.size(spans) > 0, new).otherwise(F.col(quoted(length))))
+    return out.drop(spans)
 
 
 def listed(spans: Iterable[dict]) -> str:
@@ -307,7 +307,11 @@ def _report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Counts per base kind, a digest of the base spans, all spans as text, and how many were confirmed."""
+    """Counts per base kind, a digest of the base spans, all spans as text, and how many were confirmed.
+
+    A row per row of ``docs`` (doc_id, text), repeated ones too; a null or empty text has none of anything; an
+    empty table gives an empty one; other columns are ignored.
+    """
     found = find_secrets(docs)
     kind = dict(found.dtypes)["doc_id"]
     return found.mapInArrow(

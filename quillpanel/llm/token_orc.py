@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillpanel.llm.batches import column, slices, utf8
-from quillpanel.llm.encoding import END_ID, worker_encoder
+from quillpanel.llm.encoding import ENCODER, END_ID, worker_encoder
 from quillpanel.session import new_path
 
 STRIPE_BYTES = 32 << 20
@@ -32,7 +32,7 @@ def _encoder(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = worker_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, keep=ENCODER):
             ids = [encoder.encode(t) + end for t in utf8(column(batch, "text"))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = np.concatenate([[0], np.cumsum(n)])

@@ -48,7 +48,39 @@ def test_mix(spark):
 def test_permutation(spark):
     for n in (1, 2, 3, 64, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long")).alias("p"))
-        assert sorted(r.p for r in df.collect()) == list(range(n))
+        moved = [r.p for r in df.collect()]
+        assert sorted(moved) == list(range(n)) and (n < 64 or sum(i == m for i, m in enumerate(moved)) < 8)
+
+
+def test_counts_are_multinomial(spark):
+    """Totals are as wanted; over shards a source's counts vary as a multinomial draw's do."""
+    wanted = [700, 20_000, 80_000, 3_300, 96_000]
+    rows = [(k + 1, w, sum(wanted[: k + 1]), sum(wanted)) for k, w in enumerate(wanted)]
+    df = spark.createDataFrame(rows, "k long, wanted long, upto long, slots long")
+    counts, size = defaultdict(Counter), 500
+    for r in mixing.shard_counts(df, size).collect():
+        counts[r.k][r.shard] = r["count"]
+    shards = sum(wanted) // size
+    assert [sum(counts[k + 1].values()) for k in range(5)] == wanted
+    assert all(sum(counts[k][s] for k in counts) == size for s in range(shards))
+    for k, w in enumerate(wanted):
+        p = w / sum(wanted)
+        own = [counts[k + 1][s] for s in range(shards)]
+        variance = sum((n - size * p) ** 2 for n in own) / shards
+        assert 0.75 < variance / (size * p * (1 - p)) < 1.3
+
+
+def test_sources_get_their_targets(spark):
+    """To a block, also those that stop at twice their size; repeated and null ids are spread."""
+    rows = [(None if i % 3 == 0 else i % 50, prose(i % 90, 300), "en", "abc"[(i % 20 > 0) + (i % 20 > 2)], 0, 7, "x", 1, "own", 2, "y") for i in range(1500)]
+    taken, target = Counter(), {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 3 and sum(target[s] == 2 * s for s in target) >= 1
+    for size, words in taken.items():
+        assert abs(words - target[size]) <= 3 * mixing.BLOCK
+        assert target[size] < 2 * size or words == 2 * size
 
 
 def test_mixed_documents(spark):
