@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from quillpanel.llm.batches import column, quoted, slices, unused
+from quillpanel.llm.batches import column, slices
 
 # Kinds in the order in which spans of one start are listed, and the base patterns.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
@@ -276,12 +276,14 @@ def redact_secrets(docs: DataFrame, length: str | None = "n_chars") -> DataFrame
     Column ``length``, where present, is the new text's length where something was replaced.  A null or
     empty text stays as it is; an empty table gives an empty one.
     """
-    spans = unused("spans", *docs.columns)
-    out = docs.mapInArrow(_scan(True), StructType([*docs.schema, StructField(spans, SPANS)]))
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # a scan can't take every name
+    plain = docs.toDF(*names)
+    out = plain.mapInArrow(_scan(True), StructType([*plain.schema, StructField("spans", SPANS)]))
     if length and length in docs.columns:
-        new = F.length("text").cast(docs.schema[length].dataType)
-        out = out.withColumn(length, F.when(F.size(spans) > 0, new).otherwise(F.col(quoted(length))))
-    return out.drop(spans)
+        own = names[docs.columns.index(length)]
+        new = F.length("text").cast(plain.schema[own].dataType)
+        out = out.withColumn(own, F.when(F.size("spans") > 0, new).otherwise(F.col(own)))
+    return out.drop("spans").toDF(*docs.columns)
 
 
 def listed(spans: Iterable[dict]) -> str:
