@@ -167,8 +167,8 @@ def shard_counts(wanted: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     given = stage(given, "given")
     void = given.groupBy("chunk", "shard").agg(F.sum("given").alias("void")).withColumn("one", F.lit(1))
     void = sums_before(void, ["one"], "chunk", [F.col("shard")], "void", "before")
-    lacking = totals.agg(F.max("lacking").alias("n"), F.array_sort(F.collect_list("lacking")).alias("bounds"))  # a number per source
-    again = void.crossJoin(F.broadcast(lacking)).select("chunk", "shard", "n", "bounds", F.explode(F.sequence("before", F.col("before") + F.col("void") - 1)).alias("place"))
+    lacking = totals.agg(F.struct(F.max("lacking").alias("n"), F.array_sort(F.collect_list("lacking")).alias("bounds"))).scalar()  # a number per source
+    again = void.withColumn("lacking", lacking).select("chunk", "shard", "lacking.n", "lacking.bounds", F.explode(F.sequence("before", F.col("before") + F.col("void") - 1)).alias("place"))
     again = again.select("chunk", "shard", "bounds", permuted(F.col("place"), F.col("n"), F.lit(seed % PRIME).cast("long")).alias("place"))
     again = again.select("chunk", "shard", _share_no(F.col("bounds"), F.col("place")).alias("k"))
     changes = again.groupBy("chunk", "shard", "k").agg(F.count(F.lit(1)).alias("count"))
