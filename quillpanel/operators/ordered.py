@@ -3,9 +3,11 @@
 Ranks, quantiles, ROC points and exact splits all need "how many values are smaller".
 Rows are first counted per distinct value, so a value that holds a third of all rows is
 one row afterwards.  The distinct values are then cut into ranges at boundaries taken
-from the values themselves: those with the smallest hashes, which depend on the data
-only, so a recomputed task sees the same ranges.  Each range is ordered on its own and
-starts at the total of the ranges below it.
+from the values themselves: those whose hash lies in the share of all hashes that holds
+about as many values as ranges are wanted.  That takes the number of distinct values,
+which tasks count and add up, and a filter; no task sees more than its own values and
+the boundaries, and as these depend on the data only, a recomputed task sees the same
+ranges.  Each range is ordered on its own and starts at the total of the ranges below it.
 """
 
 from __future__ import annotations
@@ -45,14 +47,10 @@ def ordered_totals(
     if not by:  # one group for all, written so that it stays a join key
         rows = rows.withColumn(group, F.when(F.col(value).isNotNull(), 0))
     counted = rows.groupBy(group, value).agg(*[m.alias(k) for k, m in measures.items()])
-    cuts = _cuts(counted, value, group, names, ranges or range_count(df))
-    inside_range = (F.col("_low").isNull() | (F.col("_low") <= F.col(value))) & (
-        F.col("_high").isNull() | (F.col(value) < F.col("_high"))
-    )
-    # the ranges of a group cover all values once, so each row finds exactly one of the few
-    ranged = counted.join(F.broadcast(cuts), (counted[group] == cuts["_of"]) & inside_range).select(
-        group, value, *names, "_range"
-    )
+    ranges = ranges or range_count(df)
+    # one row per group with its boundaries, so the broadcast side cannot grow with the data
+    edges = F.broadcast(_edges(counted, value, group, names, ranges))
+    ranged = counted.join(edges, counted[group] == edges["_of"], "left").select(group, value, *names, _range_of(F.col(value), ranges).alias("_range"))
 
     below = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = (
@@ -77,16 +75,24 @@ def ordered_totals(
     )
 
 
-def _cuts(counted: DataFrame, value: str, group: str, names: list[str], ranges: int) -> DataFrame:
-    """Ranges of each group as (_of, _range, _low, _high), low included, open at both ends."""
+def _edges(counted: DataFrame, value: str, group: str, names: list[str], ranges: int) -> DataFrame:
+    """The sorted lower ends of each group's ranges but the first, as (_of, _edges); about ``ranges`` of them."""
     # the tests on the measures keep this branch's columns equal to the others', so one shuffle serves all
     rows = counted.where(reduce(lambda a, b: a & b, [F.col(m) >= 0 for m in names]))
-    no = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(value), F.col(value)))
-    chosen = rows.withColumn("_no", no).where(F.col("_no") <= ranges).groupBy(group)
-    edges = chosen.agg(F.sort_array(F.collect_list(value)).alias("_edges"))
-    open_end = F.array(F.lit(None).cast(counted.schema[value].dataType))
-    unfolded = edges.select(F.col(group).alias("_of"), "_edges", F.posexplode(F.concat(open_end, "_edges")).alias("_range", "_low"))
-    return unfolded.select("_of", "_range", "_low", F.get("_edges", F.col("_range")).alias("_high"))
+    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_values"))
+    place = F.shiftrightunsigned(F.xxhash64(value), 11) / F.lit(float(1 << 53))  # from 0 to below 1, by value
+    chosen = rows.join(F.broadcast(sizes), F.col(group) == F.col("_of")).where(place * F.col("_values") < ranges)
+    return chosen.groupBy("_of").agg(F.sort_array(F.collect_list(value)).alias("_edges"))
+
+
+def _range_of(value: Column, ranges: int) -> Column:
+    """How many of the ascending ``_edges`` are not above ``value``, by halving steps.
+
+    Edges number ``ranges`` on average; twice as many, and a few, are never reached.
+    """
+    steps = [1 << i for i in reversed(range((2 * ranges + 64).bit_length()))]
+    onwards = lambda at, step: F.when(F.get("_edges", at + step - 1) <= value, at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), onwards)
 
 
 def average_rank(ascending: bool = True) -> Column:

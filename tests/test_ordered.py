@@ -1,12 +1,14 @@
 """Ranks, quantiles and positions against pandas and NumPy, with ties and a hot value."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillpanel.operators import ordered
 from quillpanel.operators.ordered import (
     ordered_totals,
     percent_rank_average,
@@ -39,13 +41,40 @@ def test_small_ties(spark):
     assert [r["v_rank"] for r in down] == [0.375, 1.0, None, 0.375, 0.75]
 
 
-@pytest.mark.parametrize("ranges", [4, None, 300])
+@pytest.mark.parametrize("ranges", [1, 4, None, 300, 1024, 2000])
 def test_percent_rank_matches_pandas(frame, skewed, ranges):
     got = percent_rank_average(frame, {"a": True, "b": False}, ["k"], ranges=ranges).toPandas().sort_values("k")
     np.testing.assert_allclose(got["a_rank"].to_numpy(), skewed["a"].rank(pct=True).to_numpy(), atol=1e-12)
     np.testing.assert_allclose(got["b_rank"].to_numpy(), skewed["b"].rank(pct=True, ascending=False).to_numpy(), atol=1e-12)
 
 
+@pytest.mark.parametrize("partitions", [32, 999, 1000, 2000])
+def test_no_task_orders_all_values(spark, frame, partitions):
+    """At any parallelism the values are ordered by range only; what else is ordered is a row per range."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        long = frame.select("a", "b").unpivot([], ["a", "b"], "m", "v")
+        plan = ordered_totals(long, "v", "m")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    windows = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window ")]
+    by_value = [line for line in windows if re.search(r"v#\d+ ASC", line)]
+    assert by_value and all("_range" in line for line in by_value)
+    assert "row_number" not in plan and "Sort " not in plan
+
+
+def test_boundaries_are_few(spark):
+    """About as many values as ranges are taken as boundaries, all where there are fewer; repeated runs agree."""
+    df = spark.range(50_000).select((F.col("id") % 20_000).cast("double").alias("v"))
+    for ranges, low, high in ((32, 10, 70), (1000, 850, 1150), (30_000, 20_000, 20_000)):
+        found = [
+            ordered._edges(d.groupBy(F.lit(0).alias("g"), "v").agg(F.count(F.lit(1)).alias("n")), "v", "g", ["n"], ranges).first()["_edges"]
+            for d in (df, df.repartition(13))
+        ]
+        assert low <= len(found[0]) <= high and found[0] == found[1] == sorted(found[0])
+
+
 def test_window_form_is_equal(frame):
     both = percent_rank_average(frame, {"a": True}, ["k"]).join(
         frame.select("k", percent_rank_window(frame, "a").alias("w")), "k"
