@@ -35,10 +35,6 @@ def scaled_intensity(amount: Column, base: Column) -> Column:
     return ratio(amount * F.lit(1e9), base)
 
 
-def kilo_to_mega(c: Column) -> Column:
-    return c / F.lit(1000.0)
-
-
 def clip_low(c: Column, low: float) -> Column:
     """Lower bound that keeps NULL (``greatest`` alone would turn it into the bound)."""
     return F.when(c.isNotNull(), F.greatest(c, F.lit(float(low))))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def parse_period(c: Column, prefix: str = "YR") -> Column:
-    """'YR1990' -> 1990."""
-    return F.regexp_replace(c.cast("string"), prefix, "").cast("int")
+    """'YR1990' -> 1990; NULL for what is no whole number then."""
+    return F.regexp_replace(c.cast("string"), prefix, "").try_cast("int")
 
 
 def metric_name(c: Column, prefix: str = "co2_", suffix: str = "_mt") -> Column:

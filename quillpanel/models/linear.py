@@ -15,11 +15,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillpanel import fixed_values as V
 from quillpanel.functions.classes import sign_word
 from quillpanel.functions.numeric import ratio, shift_log
+from quillpanel.models.solve import gathered, solved
+from quillpanel.session import stage
 
 
 @dataclass(frozen=True)
@@ -132,6 +135,97 @@ def ridge_cv(
     return LinearModel(list(features), raw.tolist(), w.tolist(), float(intercept), best, scores)
 
 
+def moment_cells(df: DataFrame, columns: list[str], fold: str) -> DataFrame:
+    """fold, n, i, j, mean_i, mean_j, cov: a row for each fold and pair of ``columns``, from one grouped aggregate."""
+    at = {p: k for k, p in enumerate(combinations_with_replacement(range(len(columns)), 2))}
+    name = lambda i: F.col(columns[i]).cast("double")
+    found = df.na.drop(subset=columns).groupBy(F.col(fold).cast("int").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(name(i)) for i in range(len(columns))]).alias("mean"),
+        F.array(*[F.covar_pop(name(i), name(j)) for i, j in at]).alias("cov"),
+    )
+    cell = lambda i, j: F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("mean")[i].alias("mean_i"), F.col("mean")[j].alias("mean_j"),
+        F.col("cov")[at[min(i, j), max(i, j)]].alias("cov"),
+    )
+    cells = [cell(i, j) for i in range(len(columns)) for j in range(len(columns))]
+    return found.select("fold", F.col("n").cast("double").alias("n"), F.explode(F.array(*cells)).alias("c")).select("fold", "n", "c.*")
+
+
+#: Stands for "no fold is held out".
+NO_FOLD = -1
+
+
+def _pooled_cells(cells: DataFrame) -> DataFrame:
+    """test, n, i, j, mean_i, mean_j, cov of all folds but ``test``; folds are centred first, so nothing cancels."""
+    folds = F.array_union(cells.agg(F.collect_set("fold")).scalar(), F.array(F.lit(NO_FOLD)))
+    every = W.partitionBy("i", "j")  # a row per fold
+    centre = lambda m: F.sum(F.col("n") * F.col(m)).over(every) / F.sum("n").over(every)
+    rows = cells.withColumns({"centre_i": centre("mean_i"), "centre_j": centre("mean_j")})
+    rows = rows.withColumn("test", F.explode(folds)).where("fold <> test")
+    gap_i, gap_j, n = F.col("mean_i") - F.col("centre_i"), F.col("mean_j") - F.col("centre_j"), F.col("n")
+    sums = rows.groupBy("test", "i", "j").agg(
+        F.sum("n").alias("n"), F.max("centre_i").alias("centre_i"), F.max("centre_j").alias("centre_j"),
+        F.sum(n * gap_i).alias("a"), F.sum(n * gap_j).alias("b"), F.sum(n * (F.col("cov") + gap_i * gap_j)).alias("s"),
+    )
+    a, b = F.col("a") / n, F.col("b") / n
+    return sums.select("test", "n", "i", "j", (F.col("centre_i") + a).alias("mean_i"), (F.col("centre_j") + b).alias("mean_j"), (F.col("s") / n - a * b).alias("cov"))
+
+
+def ridge_path(df: DataFrame, features: list[str], label: str, fold: str, alphas: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ridge on standardised features for every penalty, solved inside the plan.
+
+    Returns the coefficients fitted on all rows (alpha, feature, coef_standardised, coef, intercept) and
+    the scores (alpha, mean_r2) over held-out folds.  One aggregate reads the rows; what follows works on
+    the square of the number of columns, times folds and penalties, in long tables of cells.
+    """
+    y = len(features)
+    cells = stage(moment_cells(df, [*features, label], fold), "moments")
+    pooled = stage(_pooled_cells(cells), "pooled")
+    scale = pooled.where((F.col("test") == NO_FOLD) & (F.col("i") == F.col("j"))).select(F.col("i").alias("at"), F.sqrt("cov").alias("scale"))
+    scale_of = lambda c: scale.withColumnRenamed("at", c).withColumnRenamed("scale", f"scale_{c}")
+    # every table from here on has at most folds x penalties x columns^2 rows
+    scaled = pooled.where(F.col("i") < y).join(F.broadcast(scale_of("i")), "i").join(F.broadcast(scale_of("j")), "j")
+    scaled = scaled.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas or V.RIDGE_ALPHAS])))
+    cell = F.col("n") * F.col("cov") / F.col("scale_i") / F.when(F.col("j") < y, F.col("scale_j")).otherwise(1.0)
+    scaled = scaled.withColumn("cell", cell + F.when(F.col("i") == F.col("j"), F.col("alpha")).otherwise(0.0))
+    systems = gathered(scaled, ["test", "alpha"], "i", "j", "cell")
+    weights = systems.select("test", "alpha", F.posexplode(solved(F.col("matrix"), y)).alias("i", "w"))
+    weights = weights.join(F.broadcast(scale_of("i")), "i").select("test", "alpha", "i", "w", (F.col("w") / F.col("scale_i")).alias("b"))
+    weights = stage(weights, "weights")
+
+    # with -1 as the label's own coefficient, a prediction's error is the sum of b times the columns
+    of_label = weights.select("test", "alpha", F.lit(y).alias("i"), F.lit(None).cast("double").alias("w"), F.lit(-1.0).alias("b")).distinct()
+    b = weights.union(of_label)
+    own = cells.withColumnRenamed("fold", "test")
+    left = b.select("test", "alpha", "i", F.col("b").alias("b_i"))
+    right = b.select("test", "alpha", F.col("i").alias("j"), F.col("b").alias("b_j"))
+    spread = own.join(left, ["test", "i"]).join(right, ["test", "alpha", "j"]).groupBy("test", "alpha").agg(
+        F.sum(F.col("b_i") * F.col("b_j") * F.col("cov")).alias("spread"), F.max(F.when((F.col("i") == y) & (F.col("j") == y), F.col("cov"))).alias("of")
+    )
+    means = lambda d: d.where("i = j").select("test", "i", "mean_i")
+    gaps = means(own).join(means(pooled).withColumnRenamed("mean_i", "fitted"), ["test", "i"]).join(left, ["test", "i"])
+    bias = gaps.groupBy("test", "alpha").agg(F.sum(F.col("b_i") * (F.col("mean_i") - F.col("fitted"))).alias("bias"))
+    r2 = 1 - (F.col("spread") + F.col("bias") * F.col("bias")) / F.col("of")
+    scores = spread.join(bias, ["test", "alpha"]).groupBy("alpha").agg(F.avg(r2).alias("mean_r2"))
+
+    final = weights.where(F.col("test") == NO_FOLD)
+    mean = pooled.where((F.col("test") == NO_FOLD) & (F.col("i") == F.col("j"))).select("i", "mean_i")
+    label_mean = mean.where(F.col("i") == y).agg(F.max("mean_i")).scalar()
+    base = final.join(mean, "i").groupBy("alpha").agg(F.sum(F.col("b") * F.col("mean_i")).alias("at_mean"))
+    name = F.get(F.array(*[F.lit(f) for f in features]), F.col("i"))
+    coefficients = final.join(base, "alpha").select(
+        "alpha", name.alias("feature"), F.col("w").alias("coef_standardised"), F.col("b").alias("coef"), (label_mean - F.col("at_mean")).alias("intercept")
+    )
+    return coefficients, scores
+
+
+def best_ridge(coefficients: DataFrame, scores: DataFrame) -> DataFrame:
+    """The rows of the penalty with the highest mean held-out R2, the smaller one of equals."""
+    best = scores.agg(F.max_by("alpha", F.struct("mean_r2", -F.col("alpha")))).scalar()
+    return coefficients.where(F.col("alpha") == best)
+
+
 def fit_ridge_pipeline(df: DataFrame, features: list[str], label: str, alpha: float) -> PipelineModel:
     """The same ridge as an ML pipeline on unscaled features.
 

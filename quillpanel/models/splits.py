@@ -34,8 +34,14 @@ def contiguous_folds(df: DataFrame, keys: list[str], k: int, name: str = "fold")
     return df.withColumn("_cuts", cuts).withColumn(name, _fold_no(F.col("_cuts"), key, k)).drop("_cuts")
 
 
+def portable_hash(key: Column, seed: int) -> Column:
+    """A whole number below 16**15 from the MD5 of ``seed:key``, which any engine can compute alike."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def _hashed(key: str, seed: int) -> Column:
-    return F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"))
+    return F.struct(portable_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
 
 
 def _cuts_by_label(df: DataFrame, key: str, label: str, seed: int, positions: dict[str, Column]) -> Column:

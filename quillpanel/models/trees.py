@@ -90,8 +90,12 @@ def score(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
 
 def evaluate(model: PipelineModel, train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Train accuracy, test metrics of class 1 and AUC as one row."""
-    scored = score(model, test, label)
-    fitted = binary_metrics(score(model, train, label)).select(F.col("accuracy").alias("a")).scalar()
+    return judged(score(model, train, label), score(model, test, label))
+
+
+def judged(on_train: DataFrame, scored: DataFrame) -> DataFrame:
+    """Accuracy of the scored training rows, metrics of class 1 and AUC of the scored test rows, as one row."""
+    fitted = binary_metrics(on_train).select(F.col("accuracy").alias("a")).scalar()
     return binary_metrics(scored).select(
         fitted.alias("train_accuracy"), "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1",
         auc(scored).scalar().alias("auc"),

@@ -23,18 +23,27 @@ def pivot_panel(long: DataFrame, keys: list[str], indicators: list[str]) -> Data
 
 
 def outer_merge(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Chain of full outer joins on the keys.
+    """Full outer merge of frames that are each one row per key, in one exchange however many they are.
 
-    The literal form of :func:`pivot_panel`, for frames that are already one row per key.
-    Descriptive columns of later frames that the left side has already are dropped, so a
-    row first seen in a later frame has no name.
+    The frames go under each other, each with the columns that no earlier frame has, and are grouped by
+    key, which combines rows before they move.  So descriptive columns of later frames that an earlier
+    one has already are dropped, and a row first seen in a later frame has no name.  Keys that are null
+    are one key.  Of rows that repeat a key in a frame the first value that isn't missing stays.
     """
-
-    def merge(left: DataFrame, right: DataFrame) -> DataFrame:
-        repeated = [c for c in right.columns if c in left.columns and c not in keys]
-        return left.join(right.drop(*repeated), keys, "full_outer")
-
-    return reduce(merge, frames)
+    kinds = {f.name: f.dataType for f in frames[0].schema}
+    owned = [[c for c in frames[0].columns if c not in keys]]
+    for frame in frames[1:]:
+        owned.append([c for c in frame.columns if c not in kinds])
+        kinds |= {c: frame.schema[c].dataType for c in owned[-1]}
+    columns = [c for own in owned for c in own]
+    parts = [
+        frame.select(*keys, *[F.col(c) if c in own else F.lit(None).cast(kinds[c]).alias(c) for c in columns])
+        for frame, own in zip(frames, owned, strict=True)
+    ]
+    merged = reduce(DataFrame.union, parts).groupBy(*keys)
+    if not columns:
+        return merged.agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    return merged.agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:

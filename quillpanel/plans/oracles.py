@@ -95,11 +95,17 @@ add("period_parse", NATION, union([
     f""" select entity as country_code, cast(replace(concat('YR', period), 'YR', '') as integer) as year,
   '{m}' as indicator, {r(m, 8, 'value')} from n""" for m in ("target", "base")]))
 add("indicator_ingest", NATION, f"""
-select cast(entity as varchar) as country_code, period as year, {T8}, {r('base')}, {r('growth_pct')} from n
+select cast(entity as varchar) as country_code, period as year, {T8}, {r('base')}, {r('growth_pct')},
+  case when entity not in (3, 4) then round(fossil_pct, 6) + 0e0 end as fossil_pct from n
 where period between 1996 and 2001""")
+BAD = "fossil_pct is not null and entity in (3, 4)"
 add("ingest_status", NATION, union([
-    f""" select '{m}' as indicator, 'loaded' as status, count({m}) as rows from n where period between 1996 and 2001"""
-    for m in ("target", "base", "growth_pct")] + [" select 'not_there', 'failed', 0"]))
+    f""" select '{m}' as indicator, 'loaded' as status, count({m}) as rows, 0 as bad_rows, null as error from n where period between 1996 and 2001"""
+    for m in ("target", "base", "growth_pct")] + [
+    f""" select 'fossil_pct', 'loaded', count(*) filter (fossil_pct is not null and period between 1996 and 2001 and not ({BAD})),
+  count(*) filter ({BAD}), concat(count(*) filter ({BAD}), ' rows could not be read') from n""",
+    " select 'no_rows', 'failed', 0, 1, 'no header line with the columns that are needed'", " select 'not_there', 'failed', 0, 0, 'not found'"]))
+add("long_ingest", NATION, f" select cast(entity as varchar) as country_code, period as year, {T8}, {r('growth_pct')} from n where period between 1996 and 2001")
 add("csv_round_trip", NATION, f" select entity, period, {T8}, {REST_N} from n")
 add("partitioned_round_trip", NATION, f" select entity, period, {T8}, {REST_N} from n where period between 1997 and 1999")
 add("matrix_round_trip", NATION, union([
@@ -162,6 +168,8 @@ CLEAN = f""", k0 as (select * from c where entity not in (20, 21, 22, 23, 24) an
 sparse as (select entity from k0 group by entity having sum({NULLS}) / (6e0 * count(*)) > 0.5),
 kept as (select * from k0 where entity not in (select entity from sparse))""" + gap_ctes("kept", METRICS)
 add("clean_panel", CUSTOMER, CLEAN + f" select entity, period, {T8}, {REST}, {', '.join(DERIVED)} from filled")
+add("clean_panel_kilotons", CUSTOMER, CLEAN + f""" select entity, period, {r('target', 8, 'co2_emissions_mt')}, {r('base')}, {r('growth_pct')},
+  {r('ln(1 + target)', 6, 'log_co2')} from filled""")
 
 # statistics
 add("describe_numeric", CUSTOMER, union([f""" select '{m}' as metric, count({m}) as n, {r(f'avg({m})', 6, 'mean')},
@@ -464,3 +472,127 @@ CLEAN_OUTCOME = OUTCOME.replace("from c where", "from filled where")
 add("flagship", CUSTOMER, CLEAN + CLEAN_OUTCOME + SEGMENTED.format("filled") + f"""
 select lab.entity, archetype, {r('start_value', 8)}, {r('end_value', 8)}, {r('change')}, {r('ln(1 + growth)', 8, 'log_growth')}, outcome, success
 from lab join seg on lab.entity = seg.entity""")
+
+
+# splits, ridge and logistic regression
+
+
+def elimination(name: str, source: str, size: int, keep: str = "") -> str:
+    """Query steps that solve the systems in columns m_<row>_<column> of ``source``; x_<row> is in ``name``."""
+    steps, now = [], source
+    for k in range(size):
+        cells = []
+        for i in range(size):
+            for j in range(k + 1, size + 1):
+                scaled = f"m_{k}_{j} / m_{k}_{k}"
+                cells.append(f"{scaled if i == k else f'm_{i}_{j} - m_{i}_{k} * {scaled}'} as m_{i}_{j}")
+        steps.append(f"{name}_{k} as materialized (select {keep}{', '.join(cells)} from {now})")
+        now = f"{name}_{k}"
+    return ", ".join(steps) + f", {name} as materialized (select {keep}{', '.join(f'm_{i}_{size} as x_{i}' for i in range(size))} from {now})"
+
+
+HASHED = "('0x' || substr(md5(concat('42:', entity)), 1, 15))::bigint as h"
+SPLIT_ROWS = FEATURED + f""", sized as (select *, sum(n) over () as total, ceil(sum(n) over () * {V.TEST_SHARE}) as w from (select success, count(*) as n from feat group by success)),
+quota as (select success, floor(n * w / total) as q, row_number() over (order by floor(n * w / total) - n * w / total, success) as no, w - sum(floor(n * w / total)) over () as spare from sized),
+numbered as (select *, row_number() over (partition by success order by h, entity) as place from (select *, {HASHED} from feat)),
+parted as materialized (select numbered.*, case when place <= q + case when no <= spare then 1 else 0 end then 'test' else 'train' end as part from numbered join quota using (success))"""
+FOLD_OF = "cast(case when place <= (n % 5) * (n // 5 + 1) then (place - 1) // (n // 5 + 1) else n % 5 + (place - 1 - (n % 5) * (n // 5 + 1)) // (n // 5) end as integer) as fold"
+add("stratified_split_rows", CUSTOMER, SPLIT_ROWS + " select entity, success, part from parted")
+add("stratified_fold_rows", CUSTOMER, FEATURED + f""", numbered as (
+  select *, row_number() over (partition by success order by h, entity) as place, count(*) over (partition by success) as n from (select *, {HASHED} from feat))
+select entity, success, {FOLD_OF} from numbered""")
+
+RIDGE_FEATURES = ["log_base", "population", "fossil_pct", "renewable_pct"]
+_P = len(RIDGE_FEATURES)
+_ALL = [*RIDGE_FEATURES, "label"]
+_CELLS = ", ".join(f"covar_pop({a}, {b}) as c_{i}_{j}" for i, a in enumerate(_ALL) for j, b in enumerate(_ALL))
+_SYSTEM = ", ".join(
+    f"t.n * t.c_{i}_{j} / e.s_{i}" + (f" / e.s_{j}" if j < _P else "") + (" + alpha" if i == j else "") + f" as m_{i}_{j}" for i in range(_P) for j in range(_P + 1)
+)
+_PREDICTED = "t.mean_4 + " + " + ".join(f"x_{i} / e.s_{i} * ({f} - t.mean_{i})" for i, f in enumerate(RIDGE_FEATURES))
+RIDGE = f""", ready as (
+  select entity, period, ln(1 + target) as label, ln(1 + base) as log_base, population, fossil_pct, renewable_pct from c
+  where target is not null and base is not null and population is not null and fossil_pct is not null and renewable_pct is not null),
+numbered as (select *, row_number() over (order by entity, period) as place, count(*) over () as n from ready where period <= 1999),
+folded as materialized (select * exclude (n), {FOLD_OF} from numbered),
+tests as (
+  select test, count(*)::double as n, {", ".join(f"avg({f}) as mean_{i}" for i, f in enumerate(_ALL))}, {_CELLS}
+  from folded join range(-1, 5) t(test) on fold <> test group by test),
+scales as (select {", ".join(f"sqrt(c_{i}_{i}) as s_{i}" for i in range(_P))}, {", ".join(f"mean_{i}" for i in range(_P + 1))} from tests where test = -1),
+systems as (select t.test, alpha, {_SYSTEM} from tests t, scales e, (select unnest({[float(a) for a in V.RIDGE_ALPHAS]}::double[]) as alpha)),
+{elimination("solution", "systems", _P, "test, alpha, ")},
+held as (
+  select alpha, fold, 1 - sum((label - prediction) * (label - prediction)) / (count(*) * var_pop(label)) as r2
+  from (select f.*, x.alpha, {_PREDICTED} as prediction from folded f join solution x on x.test = f.fold join tests t on t.test = f.fold, scales e) group by alpha, fold),
+scored as (select alpha, avg(r2) as mean_r2 from held group by alpha),
+best as materialized (
+  select x.*, e.*, e.mean_4 - ({" + ".join(f"x_{i} / e.s_{i} * e.mean_{i}" for i in range(_P))}) as intercept
+  from solution x, scales e where test = -1 and alpha = (select alpha from scored order by mean_r2 desc, alpha limit 1))"""
+_READING = {
+    "log_base": "'1% base increase -> ' || printf('%.3f', {0}) || '% change'",
+    "population": "'1 unit increase -> ' || printf('%.3f', {0}) || ' change in the log'",
+    "fossil_pct": "'1 pp increase -> ' || printf('%.3f', {0}) || ' change in the log'",
+    "renewable_pct": "'1 pp increase -> ' || printf('%.3f', {0}) || ' change in the log'",
+}
+add("ridge_cv", CUSTOMER, RIDGE + " " + union([
+    f"""select '{f}' as feature, {r(f'x_{i}', 6, 'coef_standardised')}, {r(f'x_{i} / s_{i}', 6, 'elasticity')}, {_READING[f].format(f'x_{i}')} as reading,
+  '{"Economic" if i < 2 else "Energy"}' as category, alpha, {r('intercept')} from best""" for i, f in enumerate(RIDGE_FEATURES)]))
+add("ridge_cv_scores", CUSTOMER, RIDGE + f" select alpha, {r('mean_r2')} from scored")
+_RIDGE_VALUE = "intercept + " + " + ".join(f"x_{i} / s_{i} * {f}" for i, f in enumerate(RIDGE_FEATURES))
+add("ridge_test_metrics", CUSTOMER, RIDGE + f""", pr as (select label, {_RIDGE_VALUE} as prediction from ready, best where period > 1999)
+select count(*) as n, {r('1 - sum((label - prediction) * (label - prediction)) / (count(*) * var_pop(label))', 6, 'r2')},
+  {r('sqrt(avg((label - prediction) * (label - prediction)))', 6, 'rmse')}, {r('avg(abs(label - prediction))', 6, 'mae')},
+  {r('avg(abs((label - prediction) / nullif(label, 0))) * 100', 6, 'mape')},
+  {r('sqrt(avg((exp(label) - exp(prediction)) * (exp(label) - exp(prediction))))', 6, 'rmse_original')},
+  {r('avg(abs(exp(label) - exp(prediction)))', 6, 'mae_original')} from pr""")
+_CHANGED = _RIDGE_VALUE.replace("log_base", f"(log_base + ln({V.SHOCK}e0))")
+add("counterfactual_ridge", CUSTOMER, RIDGE + f""", pr as (select entity, exp({_RIDGE_VALUE}) - 1 as baseline, exp({_CHANGED}) - 1 as changed from ready, best where period = 2000)
+select entity, {r('baseline')}, {r('changed')}, {r('(changed - baseline) / nullif(baseline, 0) * 100', 6, 'change_pct')} from pr""")
+
+CLASSED = ["log_target", "log_base", "population", "fossil_pct", "renewable_pct", "growth_pct"]
+_ROUNDS = 14  # from 0 to where further ones change nothing in the printed digits
+_K = len(CLASSED)
+_ETA = "b_0 + " + " + ".join(f"b_{i + 1} * z_{i}" for i in range(_K))
+_TERMS = ["1e0", *[f"z_{i}" for i in range(_K)]]
+_MEDIAN = lambda m: f"coalesce({m}::double, (select quantile_cont({m}::double, 0.5) from parted where part = 'train'))"
+STANDARD = SPLIT_ROWS + f""", filled as (select entity, success, part, h, {", ".join(f"{_MEDIAN(m)} as f_{i}" for i, m in enumerate(CLASSED))} from parted),
+fitted as materialized (select count(*) as n, {", ".join(f"avg(f_{i}) as mean_{i}, stddev_pop(f_{i}) as dev_{i}" for i in range(_K))} from filled where part = 'train'),
+amounts as (select success, count(*) as own from filled where part = 'train' group by success),
+z as materialized (
+  select entity, success, part, h, case when part = 'train' then n / (2e0 * own) else 1e0 end as w, {", ".join(f"(f_{i} - mean_{i}) / nullif(dev_{i}, 0) as z_{i}" for i in range(_K))}
+  from filled join amounts using (success), fitted)"""
+
+
+def logistic_steps(name: str, rows: str) -> str:
+    """Rounds from ``name``_b0 to the coefficients b_0.. in ``name``; ``rows`` has success, w and z_0.. of what is fitted."""
+    steps = [f"{name}_b0 as (select {', '.join(f'0e0 as b_{i}' for i in range(_K + 1))})"]
+    for k in range(_ROUNDS):
+        cells = [f"sum(v * {_TERMS[i]} * {_TERMS[j]}){' + 1' if i == j and i else ''} as m_{i}_{j}" for i in range(_K + 1) for j in range(_K + 1)]
+        cells += [f"sum(e * {_TERMS[i]}){f' - any_value(b_{i})' if i else ''} as m_{i}_{_K + 1}" for i in range(_K + 1)]
+        steps.append(f"""{name}_s{k} as materialized (select {", ".join(cells)} from (
+  select *, w * p * (1 - p) as v, w * (success - p) as e from (select r.*, b.*, 1 / (1 + exp(-({_ETA}))) as p from {rows} r, {name}_b{k} b)))""")
+        steps.append(elimination(f"{name}_x{k}", f"{name}_s{k}", _K + 1))
+        steps.append(f"{name}_b{k + 1} as materialized (select {', '.join(f'b_{i} + x_{i} as b_{i}' for i in range(_K + 1))} from {name}_b{k}, {name}_x{k})")
+    return ", ".join(steps) + f", {name} as (select * from {name}_b{_ROUNDS})"
+
+
+F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)"
+TALLY = """count(*) filter (success = 1 and p > 0.5) as tp, count(*) filter (success = 0 and p > 0.5) as fp,
+  count(*) filter (success = 1 and p <= 0.5) as fn, count(*) filter (success = 0 and p <= 0.5) as tn"""
+LOGISTIC = STANDARD + f""", train as materialized (select * from z where part = 'train'), {logistic_steps("fit", "train")},
+judged as materialized (select z.*, 1 / (1 + exp(-({_ETA}))) as p from z, fit)"""
+add("logistic_classifier", CUSTOMER, LOGISTIC + f""",
+tally as (select {TALLY} from judged where part = 'test'),
+ranked as (select success, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2e0 as place from judged where part = 'test'),
+area as (select coalesce((sum(place) filter (success = 1) - count(*) filter (success = 1) * (count(*) filter (success = 1) + 1) / 2e0)
+  / nullif(count(*) filter (success = 1) * count(*) filter (success = 0), 0), 0.5e0) as auc from ranked)
+select 0 as model_no, 'Logistic Regression' as model, {r("(select avg(case when (p > 0.5) = (success = 1) then 1e0 else 0e0 end) from judged where part = 'train')", 6, 'train_accuracy')},
+  tp, fp, fn, tn, {r('(tp + tn) / (tp + fp + fn + tn)', 6, 'accuracy')}, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 6, 'precision')},
+  {r('coalesce(tp / nullif(tp + fn, 0), 0)', 6, 'recall')}, {r(F1, 6, 'f1')}, {r('auc')} from tally, area""")
+add("logistic_importance", CUSTOMER, LOGISTIC + " " + union([
+    f"select '{m}' as feature, {r(f'abs(b_{i + 1})', 6, 'importance')}, case when b_{i + 1} < 0 then -1 else 1 end as sign from fit" for i, m in enumerate(CLASSED)]))
+add("logistic_cv_f1", CUSTOMER, STANDARD + f""",
+numbered_train as (select *, row_number() over (partition by success order by h, entity) as place, count(*) over (partition by success) as n from z where part = 'train'),
+folds as materialized (select *, {FOLD_OF} from numbered_train)"""
+    + "".join(f", train{k} as materialized (select * from folds where fold <> {k}), {logistic_steps(f'fit{k}', f'train{k}')}" for k in range(5))
+    + " " + union([f"select {k} as fold, {r(F1, 6, 'f1')} from (select {TALLY} from (select f.*, 1 / (1 + exp(-({_ETA}))) as p from folds f, fit{k} where fold = {k}))" for k in range(5)]))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quillpanel import fixed_values as V
 from quillpanel.functions.numeric import per_billion
+from quillpanel.functions.units import resolved
 from quillpanel.operators.impute import gap_fill
 from quillpanel.operators.rank import top_k, union_top
 from quillpanel.operators.select import complete_cases, drop_entities, exclude_members, keep_entities, positive, snapshot
 from quillpanel.operators.stats import too_sparse, without_target
-from quillpanel.spec import first_existing, keep_existing, numeric_columns
+from quillpanel.spec import keep_existing, numeric_columns
 
 TARGET_CANDIDATES = ["co2_emissions_mt", "co2_emissions_kt", "co2_total"]
 
@@ -38,9 +39,11 @@ def clean_panel(
     """Cleaning in order: aggregate members, entities and rows without target, sparse entities, gaps, derived columns.
 
     Every shuffle is keyed by entity and nothing is collected.  Dropping the target-less
-    rows removes their entities too, so both steps are one filter.
+    rows removes their entities too, so both steps are one filter.  Without a given ``target``
+    the first known emission column is taken, converted to megatonnes where it is in another unit.
     """
-    target = target or first_existing(df, TARGET_CANDIDATES)
+    if target is None:
+        df, target = resolved(df, TARGET_CANDIDATES, TARGET_CANDIDATES[0]), TARGET_CANDIDATES[0]
     members = list(members) if isinstance(members, tuple) else members
     rows = exclude_members(df, entity, members).where(F.col(target).isNotNull())
     metrics = numeric_columns(rows, exclude=(entity, period))

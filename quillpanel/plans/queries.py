@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillpanel import fixed_values as V
 from quillpanel.functions import classes, numeric, text
 from quillpanel.functions.numeric import tidy
-from quillpanel.models import linear, metrics, splits, trees
+from quillpanel.models import linear, logistic, metrics, splits, trees
 from quillpanel.operators import assembly, impute, ordered, outcome, rank, scenario, segment, select, stats
 from quillpanel.plans import panels
 from quillpanel.session import new_path, stage
@@ -182,25 +182,46 @@ def period_parse(spark, d):
 
 @query
 def indicator_ingest(spark, d):
-    return out(_ingest(spark, d)[0], country_code=None, year=None, target=8, base=6, growth_pct=6)
+    return out(_ingest(spark, d)[0], country_code=None, year=None, target=8, base=6, growth_pct=6, fossil_pct=6)
 
 
 @query
 def ingest_status(spark, d):
-    return out(_ingest(spark, d)[1], indicator=None, status=None, rows=None)
+    return out(_ingest(spark, d)[1], indicator=None, status=None, rows=None, bad_rows=None, error=None)
 
 
-def _ingest(spark, d):
-    """Lands each metric as a CSV file of its own with text periods, then loads them with one source missing."""
+def _landed(spark, d, names):
+    """Each metric as a CSV file of its own with text periods; one with columns in another order, one damaged."""
     panel = nations(spark, d)
     folder = new_path(spark, "landing")
-    names = ["target", "base", "growth_pct"]
     for name in names:
         rows = panel.where(F.col(name).isNotNull())
-        rows = rows.select(F.col("entity").alias("country_code"), F.concat(F.lit("YR"), "period").alias("year"), name)
+        rows = rows.select(F.col("entity").alias("country_code"), F.concat(F.lit("YR"), "period").alias("year"), F.col(name).cast("string").alias(name))
+        if name == "base":
+            rows = rows.select(name, F.lit("x,y").alias("note"), "year", "country_code")
+        if name == "fossil_pct":  # a number and a period that can't be read, for two entities
+            rows = rows.withColumn(name, F.when(F.col("country_code") == 3, "n/a?").otherwise(F.col(name)))
+            rows = rows.withColumn("year", F.when(F.col("country_code") == 4, "unknown").otherwise(F.col("year")))
         files.write_panel(rows, f"{folder}/{name}", "csv")
-    paths = {n: f"{folder}/{n}" for n in [*names, "not_there"]}
-    return files.load_indicators(spark, paths, 1996, 2001)
+    files.write_panel(panel.select("entity").limit(0), f"{folder}/no_rows", "csv")
+    return {n: f"{folder}/{n}" for n in [*names, "no_rows", "not_there"]}
+
+
+def _ingest(spark, d):
+    """Lands metrics as files, then loads them with one source damaged, one without lines and one missing."""
+    panel, status = files.load_indicators(spark, _landed(spark, d, ["target", "base", "growth_pct", "fossil_pct"]), 1996, 2001)
+    return panel, status.withColumn("error", F.when(F.col("error").contains("PATH_NOT_FOUND"), "not found").otherwise(F.col("error")))
+
+
+@query
+def long_ingest(spark, d):
+    """The same from one file of all metrics."""
+    names = ["target", "base", "growth_pct"]
+    path = new_path(spark, "landing")
+    long = nations(spark, d).select(F.col("entity").alias("country_code"), "period", *names).unpivot(["country_code", "period"], names, "indicator", "value")
+    files.write_panel(long.select("indicator", F.concat(F.lit("YR"), "period").alias("year"), "value", "country_code"), path, "csv")
+    panel, _ = files.load_long(spark, path, ["target", "growth_pct"], 1996, 2001)
+    return out(panel, country_code=None, year=None, target=8, growth_pct=6)
 
 
 @query
@@ -318,6 +339,14 @@ def clean_panel(spark, d):
     )
 
 
+@query
+def clean_panel_kilotons(spark, d):
+    """The cleaning of a panel whose amounts come in kilotons, which it recognises and converts."""
+    panel = customers(spark, d).select(*KEYS, *METRICS).withColumn("co2_emissions_kt", F.col("target") * 1000).drop("target")
+    cleaned = panels.clean_panel(panel, "entity", "period", members=EXCLUDED, gdp="base", population="population")
+    return out(cleaned, entity=None, period=None, co2_emissions_mt=8, base=6, growth_pct=6, log_co2=6)
+
+
 # ---------------------------------------------------------------- statistics
 
 
@@ -879,18 +908,38 @@ def _model_rows(spark, d):
 
 @query
 def ridge_cv(spark, d):
+    """Coefficients of the ridge with the cross-validated penalty, with a reading and a category each."""
     train, _ = _model_rows(spark, d)
-    model = linear.ridge_cv(train, MODEL_FEATURES, "label", "fold")
-    table_ = linear.interpret(model.coefficients(spark), {"log_base": "base"})
+    best = linear.best_ridge(*linear.ridge_path(train, MODEL_FEATURES, "label", "fold"))
+    table_ = linear.interpret(best.withColumnRenamed("coef", "elasticity"), {"log_base": "base"})
     categories = {"Economic": ["log_base", "population"], "Energy": ["fossil_pct", "renewable_pct"]}
-    return linear.with_category(table_, categories).withColumn("alpha", F.lit(model.alpha))
+    return out(
+        linear.with_category(table_, categories),
+        feature=None, coef_standardised=6, elasticity=6, reading=None, category=None, alpha=None, intercept=6,
+    )
+
+
+@query
+def ridge_cv_scores(spark, d):
+    train, _ = _model_rows(spark, d)
+    return out(linear.ridge_path(train, MODEL_FEATURES, "label", "fold")[1], alpha=None, mean_r2=6)
 
 
 @query
 def ridge_test_metrics(spark, d):
     train, test = _model_rows(spark, d)
     model = linear.ridge_cv(train, MODEL_FEATURES, "label", "fold")
-    return metrics.regression_metrics(test.withColumn("prediction", model.predict()))
+    found = metrics.regression_metrics(test.withColumn("prediction", model.predict()))
+    return out(found, n=None, r2=6, rmse=6, mae=6, mape=6, rmse_original=6, mae_original=6)
+
+
+@query
+def counterfactual_ridge(spark, d):
+    """Every entity of the last full period rescored by all features with its base multiplied."""
+    train, test = _model_rows(spark, d)
+    model = linear.ridge_cv(train, MODEL_FEATURES, "label", "fold")
+    rows = linear.counterfactual(at_last_full(test), model, "log_base", V.SHOCK)
+    return out(rows, entity=None, baseline=6, changed=6, change_pct=6)
 
 
 @query
@@ -940,9 +989,55 @@ def gbt_classifier(spark, d):
     return _evaluated(spark, d, ["Gradient Boosting"])
 
 
+@query
+def stratified_split_rows(spark, d):
+    """Train or test, by exact quotas of each class in the order of a portable hash."""
+    rows = stage(_features(customers(spark, d)), "class-rows")
+    train, test = splits.stratified_split(rows, "entity", "success")
+    parts = [p.select("entity", "success", F.lit(n).alias("part")) for p, n in ((train, "train"), (test, "test"))]
+    return parts[0].union(parts[1])
+
+
+@query
+def stratified_fold_rows(spark, d):
+    rows = stage(_features(customers(spark, d)), "class-rows")
+    return splits.stratified_folds(rows, "entity", "success", 5).select("entity", "success", "fold")
+
+
+def _logistic(train):
+    return logistic.fit_logistic(train, _names("Logistic Regression"), "success", "weight", trees.LOGISTIC_C)
+
+
 @query
 def logistic_classifier(spark, d):
-    return _evaluated(spark, d, ["Logistic Regression"])
+    """Logistic regression by reweighted least squares on the training part, judged on both."""
+    train, test = _class_rows(spark, d)
+    model = _logistic(train)
+    found = trees.judged(model.score(train, "success"), model.score(test, "success"))
+    named = found.select(F.lit(0).alias("model_no"), F.lit("Logistic Regression").alias("model"), "*")
+    return out(
+        named, model_no=None, model=None, train_accuracy=6, tp=None, fp=None, fn=None, tn=None,
+        accuracy=6, precision=6, recall=6, f1=6, auc=6,
+    )
+
+
+@query
+def logistic_importance(spark, d):
+    """Sizes and signs of the logistic coefficients of the standardised features."""
+    train, _ = _class_rows(spark, d)
+    return out(_logistic(train).importance(spark, CLASS_FEATURES), feature=None, importance=6, sign=None)
+
+
+@query
+def logistic_cv_f1(spark, d):
+    """F1 of class 1 over the five stratified folds of the training part."""
+    train, _ = _class_rows(spark, d)
+    folded = stage(splits.stratified_folds(train, "entity", "success", 5), "folds")
+    found = []
+    for k in range(5):  # a fit per fold
+        model = _logistic(folded.where(F.col("fold") != k))
+        found.append(metrics.binary_metrics(model.score(folded.where(F.col("fold") == k), "success")).select(F.lit(k).alias("fold"), "f1"))
+    return out(trees.union_rows(found), fold=None, f1=6)
 
 
 @query

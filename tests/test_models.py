@@ -7,7 +7,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from quillpanel import fixed_values as V
-from quillpanel.models import linear, metrics, splits, trees
+from quillpanel.models import linear, logistic, metrics, splits, trees
+from quillpanel.models.solve import solved
 
 FEATURES = ["a", "b", "c"]
 
@@ -216,3 +217,60 @@ def test_regression_metrics_definitions(spark):
     assert row["r2"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
     assert row["mape"] == pytest.approx(np.mean(np.abs((y - p) / y)) * 100)
     assert row["mae_original"] == pytest.approx(np.abs(np.expm1(y) - np.expm1(p)).mean())
+
+
+def test_systems_are_solved_in_the_plan(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for i in range(20):
+        a = rng.normal(size=(5, 5))
+        a, b = a @ a.T + np.eye(5), rng.normal(size=5)
+        rows.append((i, np.column_stack([a, b]).tolist()))
+        want.append(np.linalg.solve(a, b))
+    rows.append((20, [[0.0] * 6] * 5))
+    df = spark.createDataFrame(rows, "k int, m array<array<double>>").select("k", solved(F.col("m"), 5).alias("x"))
+    got = {r["k"]: r["x"] for r in df.collect()}
+    np.testing.assert_allclose([got[i] for i in range(20)], want, rtol=1e-8)
+    assert got[20] == [None] * 5
+
+
+def test_ridge_in_the_plan_equals_the_driver_form(frame):
+    folded = splits.contiguous_folds(frame, ["e", "t"], 5)
+    model = linear.ridge_cv(folded, FEATURES, "y", "fold")
+    coefficients, scores = linear.ridge_path(folded, FEATURES, "y", "fold")
+    found = {r["alpha"]: r["mean_r2"] for r in scores.collect()}
+    assert found == {a: pytest.approx(s, abs=1e-10) for a, s in model.cv}
+    best = {r["feature"]: r for r in linear.best_ridge(coefficients, scores).collect()}
+    for f, standardised, raw in zip(FEATURES, model.standardised, model.raw, strict=True):
+        assert best[f]["coef_standardised"] == pytest.approx(standardised, rel=1e-9)
+        assert best[f]["coef"] == pytest.approx(raw, rel=1e-9) and best[f]["alpha"] == model.alpha
+        assert best[f]["intercept"] == pytest.approx(model.intercept, rel=1e-9)
+    assert coefficients.count() == len(FEATURES) * len(V.RIDGE_ALPHAS)
+
+
+def test_reweighted_least_squares_equals_the_estimator(classes):
+    """Within 1e-6 of the ML estimator on standardised, class-weighted rows, whatever the partitions."""
+    weighted = splits.balanced_weights(classes, "label")
+    scaled = linear.standardise(weighted, ["x", "z"], suffix="_z")
+    names = ["x_z", "z_z"]
+    own = logistic.fit_logistic(scaled, names, "label", "weight")
+    model = trees.classifier("Logistic Regression", names, "label", "weight", scaled.count(), tol=1e-12).fit(scaled).stages[-1]
+    np.testing.assert_allclose(own.coefficients, model.coefficients.toArray(), atol=1e-6)
+    assert own.intercept == pytest.approx(model.intercept, abs=1e-6) and 2 < own.rounds < 15
+    again = logistic.fit_logistic(scaled.repartition(11), names, "label", "weight")
+    np.testing.assert_allclose(own.coefficients, again.coefficients, rtol=1e-12)
+    scored = own.score(scaled, "label")
+    assert scored.where((F.col("score") > 0.5) != (F.col("prediction") == 1)).count() == 0
+
+
+def test_logistic_without_two_classes(classes):
+    one = classes.where("label = 1")
+    assert logistic.fit_logistic(one, ["x"], "label").intercept == float("inf")
+    assert logistic.fit_logistic(one.where("k < 0"), ["x"], "label").coefficients == [0.0]
+
+
+def test_portable_hash(spark):
+    import hashlib
+
+    got = spark.createDataFrame([(5,), (None,)], "k long").select(splits.portable_hash(F.col("k"), 42).alias("h")).collect()
+    assert [r["h"] for r in got] == [int(hashlib.md5(b"42:5").hexdigest()[:15], 16), None]

@@ -129,6 +129,18 @@ def test_outer_merge_equals_pivot_and_names_come_from_the_left(spark):
     assert got == {"x": ("x", 1, "X", 1.0, 2.0), "y": ("y", 1, None, None, 3.0)}
 
 
+def test_outer_merge_moves_rows_once(spark):
+    """One exchange for any number of frames, and the rows of a chain of full outer joins."""
+    frames = [spark.range(i, 40 + 3 * i).select("id", (F.col("id") % 3).alias("t"), (F.col("id") * i).alias(f"v{i}")) for i in range(21)]
+    merged = assembly.outer_merge(frames, ["id", "t"])
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    chained = frames[0]
+    for f in frames[1:]:
+        chained = chained.join(f, ["id", "t"], "full_outer")
+    assert merged.columns == chained.columns
+    assert sorted(map(str, merged.collect())) == sorted(map(str, chained.collect()))
+
+
 def test_clean_panel_reference_columns(spark):
     rows = [
         ("AAA", 2000 + i, 10.0 if i != 1 else None, 1e9 if i != 2 else None, 1000.0) for i in range(4)
