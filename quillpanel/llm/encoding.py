@@ -17,8 +17,8 @@ import numpy as np
 
 from quillpanel.llm.batches import worker_tables
 
-#: Words, and pieces of words, whose ids are kept; longer ones than KEPT_BYTES are not, so that the tables are bounded.
-CACHE_WORDS, KEPT_BYTES = 450_000, 64
+#: Words, and pieces of words, that each of two tables keeps; longer ones than KEPT_BYTES are not, so that they are bounded.
+CACHE_WORDS, KEPT_BYTES = 200_000, 64
 ENCODER = "encoder"
 END_ID = 1
 
@@ -46,8 +46,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cache_words = cache_words
+        # of words and of pieces: those met since the table was last full, and those before
         self.words: dict[bytes, bytes] = {}
         self.units: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_units: dict[bytes, bytes] = {}
         self.letters = byte_letters()
         self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.plain = regex.compile(PLAIN).fullmatch
@@ -57,8 +60,10 @@ class WordEncoder:
         """Ids of a lower-case piece between the tokenizer's cuts."""
         found = self.units.get(unit)
         if found is None:
-            text = unit.decode() if unit.isascii() else "".join(map(self.letters.__getitem__, unit))
-            found = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
+            found = self.old_units.get(unit)
+            if found is None:
+                text = unit.decode() if unit.isascii() else "".join(map(self.letters.__getitem__, unit))
+                found = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
             if len(unit) <= KEPT_BYTES:
                 self.units[unit] = found
         return found
@@ -76,9 +81,9 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         """Ids of one UTF-8 text."""
         if len(self.words) > self.cache_words:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         if len(self.units) > self.cache_words:
-            self.units.clear()
+            self.old_units, self.units = self.units, {}
         words = text.split()  # on the bytes 20 and 09-0D
         out = list(map(self.words.get, words))
         try:
@@ -88,7 +93,9 @@ class WordEncoder:
                 if ids is None:
                     ids = self.words.get(words[i])
                     if ids is None:
-                        ids = self._word(words[i])
+                        ids = self.old_words.get(words[i])
+                        if ids is None:
+                            ids = self._word(words[i])
                         if len(words[i]) <= KEPT_BYTES:
                             self.words[words[i]] = ids
                     out[i] = ids
