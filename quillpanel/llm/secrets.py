@@ -14,6 +14,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,8 @@ LINE_END = r"[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+"
 #: A run and, while its lines are of 40 signs or more, the next whole line.
 WRAPPED = rf"(?:[A-Za-z0-9+/_-]{{40,}}{LINE_END}(?={RUN}={{0,2}}(?:[\r\n\\\"',]|$)))*{RUN}={{0,2}}"
 LEAST_DER = 30
+#: Signs of a line that wraps, and of a token that are looked at before it is decoded.
+LONG_LINE, HEADER_SIGNS = 40, 256
 UPPER_HEX = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])"
 MARK = "[secret]"
 
@@ -106,7 +109,7 @@ def is_key_der(data: bytes) -> bool:
 def is_openssh(data: bytes) -> bool:
     """The binary form of an OpenSSH private key: magic, then length-prefixed fields."""
     magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+    if bytes(data[: len(magic)]) != magic:
         return False
     at = len(magic)
     for _ in range(3):  # cipher, derivation, options
@@ -184,6 +187,61 @@ def der_end(text: str, at: int) -> int | None:
     return at + len(re.match("={0,2}", text[at : at + 2])[0])
 
 
+class Run:
+    """Base64 signs from a first place to the end of their run, and on over whole wrapped lines."""
+
+    def __init__(self, text: str, first: int, wrapped):
+        self.text, self.first, self.stop = text, first, _run.match(text, first).end()
+        # lines go on where at least 40 signs stand before the line's end
+        long = self.stop - first >= LONG_LINE
+        self.wrapped_end = wrapped(text, self.stop - LONG_LINE).end() if long else self._padded(self.stop)
+        self.decoded: dict[tuple[bool, int], tuple[bytes, list[int]]] = {}
+
+    def _padded(self, at: int) -> int:
+        return at + len(re.match("={0,2}", self.text[at : at + 2])[0])
+
+    def _goes_on(self, at: int) -> bool:
+        return self.stop - at >= LONG_LINE
+
+    def end(self, at: int) -> int:
+        return self.wrapped_end if self._goes_on(at) else self._padded(self.stop)
+
+    def _bytes(self, at: int) -> tuple[bytes, int, list[int]]:
+        """The decoded rest of the run, where ``at`` is in it, and the places of its dots."""
+        place = at - self.first
+        key = (self._goes_on(at), place % 4)
+        if key not in self.decoded:
+            signs = re.sub(BREAK, "", self.text[self.first + place % 4 : self.end(at)]).rstrip("=")
+            data = unbase64(signs[: len(signs) - (len(signs) % 4 == 1)]) or b""
+            self.decoded[key] = data, [i for i, c in enumerate(data) if c == 0x2E] if b"." in data else []
+        data, dots = self.decoded[key]
+        return data, place // 4 * 3, dots
+
+    def holds_secret(self, at: int) -> bool:
+        """As :func:`is_secret_data` of what is decoded from ``at``; only what can be one is copied."""
+        data, begin, dots = self._bytes(at)
+        if data.startswith(b"eyJ", begin):
+            # two dots in what is left, and a header that begins as an object with a name
+            if len(dots) - bisect_left(dots, begin) != 2 or not _may_be_header(data[begin : begin + HEADER_SIGNS]):
+                return False
+        elif not data.startswith((b"openssh-key-v1\x00", b"-----BEGIN"), begin):
+            return False
+        if data.startswith(b"openssh-key-v1\x00", begin):
+            return is_openssh(memoryview(data)[begin:])
+        return is_secret_data(data[begin:])
+
+
+def _may_be_header(signs: bytes) -> bool:
+    """Whether base64 that begins like this may be a JSON object: its first name, if it ends here, is followed by a colon."""
+    part = signs.split(b".")[0]
+    try:
+        head = base64.urlsafe_b64decode(part[: len(part) // 4 * 4].replace(b"+", b"-").replace(b"/", b"_")).decode("latin-1")
+    except (binascii.Error, ValueError):
+        return False
+    name = re.match(r'\s*\{\s*"(?:[^"\\]|\\.)*"\s*(.?)', head, re.DOTALL)
+    return name is None or name[1] in ("", ":")
+
+
 class Scanner:
     """Spans (kind, start, end) of one text in code points, by start and then in the order of KINDS."""
 
@@ -192,8 +250,8 @@ class Scanner:
         self.wrapped = re.compile(WRAPPED).match
 
     def inner_keys(self, text: str) -> Iterator[tuple[str, int, int]]:
-        """Keys that are wrapped over lines, or begin inside a run."""
-        done = 0
+        """Keys that are wrapped over lines, or begin inside a run; each run is decoded once for each phase of four signs."""
+        done, run = 0, None
         for m in self.find["start"](text):
             at = m.start()
             if at < done:
@@ -201,9 +259,9 @@ class Scanner:
             if text[at] == "M":
                 end = der_end(text, at)
             else:
-                whole = self.wrapped(text, at)
-                signs = re.sub(BREAK, "", whole[0]).rstrip("=")
-                end = whole.end() if is_secret_data(unbase64(signs[: len(signs) - (len(signs) % 4 == 1)])) else None
+                if run is None or at >= run.stop:
+                    run = Run(text, at, self.wrapped)
+                end = run.end(at) if run.holds_secret(at) else None
             if end:
                 done = end
                 yield "key", at, end
