@@ -1,6 +1,11 @@
 """From documents to packed training sequences, in five stages of the ``llm`` operators.
 
 Each stage is written as Parquet below the shared folder and read again as the next one's documents.
+
+All stages but the last return the columns of the documents they get, whatever else these hold and however it
+is named; needed are doc_id, text, lang and source.  A null or empty text has no perplexity and goes in the
+first stage; a null language or source is one of its own; repeated rows are documents of their own until
+near copies are looked for; an empty table passes through as one.
 """
 
 from __future__ import annotations
