@@ -8,9 +8,10 @@ bucket.  Exact copies of a set meet before as one node.
 In a bucket only the pairs with its centre, the smallest document, are candidates, so candidates grow
 with the bucket, not with its square.  All candidates are confirmed on the full shingle sets.  What the
 star leaves open is handled exactly: in a bucket whose documents are not yet of one component, every
-document outside the largest component is compared with all others, in tiles of bounded size: sets of up
-to SKETCH shingles by the low 16 bits of all their hashes, which can only overstate a similarity, others
-by signature.  Pairs that this allows to link are confirmed on the full sets as well.
+document outside the largest component is compared with all others, in tiles of bounded size, by figures
+that can only overstate a similarity: two sets of up to SKETCH shingles by the low 16 bits of all their
+hashes, other pairs by how many shingles fall into each of CELLS cells.  Pairs that this allows to link
+are confirmed on the full sets as well.
 """
 
 from __future__ import annotations
@@ -33,17 +34,16 @@ BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 PROBES = 64
 TILE = 512
-#: Pairs of a tile in which a set has no sketch are confirmed if at least this many of the 160 signature
-#: values agree.  Sets of more than SKETCH shingles fill most bins; at a similarity of 0.75 fewer agree
-#: with a probability below 1e-4 (120 expected, deviation 5.5).
-AGREE = 98
-#: Sets of at most so many shingles carry the low 16 bits of their hashes.
+#: Sets of at most so many shingles carry the low 16 bits of their hashes, longer ones counts by cell.
 SKETCH = 400
+CELLS = 1024
+#: A count that stands for any larger one too.
+FULL = 65535
 
 #: Lists of ids up to this length are sent to every task (16 MB); with longer ones the texts move to meet them.
 MOST_IDS = 1_000_000
 
-SETS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary, sketch binary"
+SETS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
 def probe_table() -> np.ndarray:
@@ -69,6 +69,23 @@ def signature(hashes: np.ndarray, edges: np.ndarray, probes: np.ndarray) -> np.n
     return values
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Low 16 bits of all hashes of a short set; of a long one its size and its counts by the low bits of the hashes."""
+    if len(hashes) <= SKETCH:
+        return hashes.astype(np.uint16).tobytes()
+    cells = np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return len(hashes).to_bytes(8, "little") + np.minimum(cells, FULL).astype(np.uint16).tobytes()
+
+
+def opened(sketch: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Size, low 16 bits of the hashes (none of a long set) and counts by cell."""
+    if len(sketch) <= 2 * SKETCH:
+        low = np.frombuffer(sketch, np.uint16)
+        return len(low), low, np.bincount(low & (CELLS - 1), minlength=CELLS).astype(np.int32)
+    cells = np.frombuffer(sketch, np.uint16, offset=8).astype(np.int32)
+    return int.from_bytes(sketch[:8], "little"), np.zeros(0, np.uint16), np.where(cells == FULL, 1 << 30, cells).astype(np.int32)
+
+
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spaces, probes = space_table(), probe_table()
     edges = np.array([(b << 64) // BINS for b in range(BINS)], np.uint64)
@@ -76,13 +93,12 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signed = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
     for batch in slices(batches):
         sets = shingle_sets([t.lower() for t in utf8(column(batch, "text"))], spaces, SHINGLE)
-        keys, sigs = np.zeros((len(sets), BANDS), np.uint64), [b""] * len(sets)
+        keys = np.zeros((len(sets), BANDS), np.uint64)
         for i, s in enumerate(sets):
             if len(s):
                 values = signature(s, edges, probes)
                 rows = values.reshape(BANDS, ROWS)
                 keys[i] = mixed((rows * salts).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                sigs[i] = (mixed(values, 3) & np.uint64(0xFF)).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(batch.schema.get_field_index("doc_id")),
@@ -90,8 +106,7 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signed([mixed(s, 1).sum(dtype=np.uint64) for s in sets]),
                 signed([mixed(s, 2).sum(dtype=np.uint64) for s in sets]),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), signed(keys.ravel())),
-                pa.array(sigs, pa.binary()),
-                pa.array([s.astype(np.uint16).tobytes() if len(s) <= SKETCH else b"" for s in sets], pa.binary()),
+                pa.array([sketch(s) for s in sets], pa.binary()),
             ],
             [c.split()[0] for c in SETS.split(", ")],
         )
@@ -156,32 +171,40 @@ def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             return []
         arrays = []
         for rows in (first, second):
+            sizes, low, cells = zip(*[opened(g[9]) for g in rows], strict=True)
             arrays.append((
                 np.array([g[4] for g in rows]),
                 np.array([g[5] for g in rows]),
-                np.frombuffer(b"".join(g[8] for g in rows), np.uint8).reshape(len(rows), -1),
-                np.array([g[9] for g in rows], np.int64),
-                [np.frombuffer(g[10], np.uint16) for g in rows],
+                np.array([g[8] for g in rows], np.int64),
+                np.array(sizes, np.int64),
+                low,
+                np.stack(cells),
             ))
-        (n1, c1, s1, b1, k1), (n2, c2, s2, b2, k2) = arrays
-        l1, l2 = (np.array([len(x) for x in k]) for k in (k1, k2))
-        short = np.flatnonzero(l2)
+        (n1, c1, b1, l1, k1, h1), (n2, c2, b2, l2, k2, h2) = arrays
+        brief1, brief2 = l1 <= SKETCH, l2 <= SKETCH
+        short = np.flatnonzero(brief2)
         joined, starts = np.concatenate(k2), np.cumsum(l2[short]) - l2[short]
         there, found = np.zeros(1 << 16, bool), []
         for at in range(0, len(n1), 64):
             own_l = l1[at : at + 64, None]
-            sketched = (own_l > 0) & (l2 > 0)
-            open_ = np.where(sketched, 100 * np.minimum(own_l, l2) >= percent * np.maximum(own_l, l2), (s1[at : at + 64, None] == s2[None]).sum(axis=2) >= AGREE)
+            open_ = 100 * np.minimum(own_l, l2) >= percent * np.maximum(own_l, l2)
             open_ &= c1[at : at + 64, None] != c2[None]
             open_ &= (n1[at : at + 64, None] != centre) & (n2[None] != centre)
             if i == j:
                 open_ &= n1[at : at + 64, None] < n2[None]
-            for x in np.flatnonzero((open_ & sketched).any(axis=1)):
-                # Equal hashes have equal low bits, so that this can only overstate what is common.
-                there[k1[at + x]] = True
-                common = np.minimum(np.add.reduceat(there[joined], starts, dtype=np.int64), l1[at + x])
-                open_[x, short] &= 100 * common >= percent * (l1[at + x] + l2[short] - common)
-                there[k1[at + x]] = False
+            for x in np.flatnonzero(open_.any(axis=1)):
+                # Equal hashes have equal low bits, so that both ways can only overstate what is common.
+                own = l1[at + x]
+                if brief1[at + x] and open_[x, short].any():
+                    there[k1[at + x]] = True
+                    common = np.minimum(np.add.reduceat(there[joined], starts, dtype=np.int64), own)
+                    open_[x, short] &= 100 * common >= percent * (own + l2[short] - common)
+                    there[k1[at + x]] = False
+                rest = np.flatnonzero(open_[x] & ~(brief1[at + x] & brief2))
+                if len(rest):
+                    common = np.minimum(h1[at + x], h2[rest]).sum(axis=1, dtype=np.int64)
+                    common = np.minimum(common, np.minimum(own, l2[rest]))
+                    open_[x, rest] = 100 * common >= percent * (own + l2[rest] - common)
             x, y = np.nonzero(open_)
             x += at
             own = (b1[x] == b2[y]).argmax(axis=1) == band  # each pair in the first band that it shares
@@ -189,7 +212,7 @@ def _candidates(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
                 found.append((min(first[p][4], second[q][4]), max(first[p][4], second[q][4])))
         return found
 
-    names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "sig", "bands", "sketch"]
+    names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "bands", "sketch"]
     group, out = [], []
 
     def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -214,7 +237,7 @@ def _compare(percent: int):
 
 
 def open_pairs(buckets: DataFrame, nodes: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that the stars left open: in one bucket, of different components, alike by signature.
+    """Pairs that the stars left open: in one bucket, of different components, alike by sketch.
 
     ``buckets``: key, band, node, centre, size of every bucket of two or more.  Only buckets of three or
     more with several components have such pairs.  Documents outside a bucket's largest component are
@@ -236,8 +259,8 @@ def open_pairs(buckets: DataFrame, nodes: DataFrame, found: DataFrame, percent:
     last = F.when(inside, F.col("rest_tiles")).otherwise(F.col("rest_tiles") + F.col("big_tiles")) - 1
     rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "band", "centre")
-    rows = rows.join(nodes.select("node", "sig", "bands", "sketch"), "node")
-    rows = rows.select("key", "i", "j", "tile", "node", "comp", F.col("band").cast("int"), "centre", "sig", "bands", "sketch")
+    rows = rows.join(nodes.select("node", "bands", "sketch"), "node")
+    rows = rows.select("key", "i", "j", "tile", "node", "comp", F.col("band").cast("int"), "centre", "bands", "sketch")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(percent), "a long, b long")
 
 
@@ -255,7 +278,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("node"))
     groups = stage(groups, "groups")
     # A node has one row, or several where its doc_id has several texts.
-    nodes = sets.join(groups, digest).where("doc_id = node").select("node", "bands", "sig", "sketch").distinct()
+    nodes = sets.join(groups, digest).where("doc_id = node").select("node", "bands", "sketch").distinct()
     nodes = stage(nodes, "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     stars = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")

@@ -83,29 +83,57 @@ def test_signatures():
         assert all(got[b] == v for b, v in least.items()) and set(got.tolist()) == {int(v) for v in least.values()}
 
 
-def test_short_sets_of_unlike_signatures_are_compared():
-    """Three of four shingles are common, but densified bins agree too rarely; a long set goes by its signature."""
-    edges, probes = np.array([(b << 64) // minhash.BINS for b in range(minhash.BINS)], np.uint64), minhash.probe_table()
-    rng, tried = np.random.default_rng(2), 0
-
-    def row(node, s):
-        sig = minhash.signature(s, edges, probes)
-        sketch = s.astype(np.uint16).tobytes() if len(s) <= minhash.SKETCH else b""
-        return sig, (1, 0, 0, 0, node, node, 0, 1, (sig & np.uint64(255)).astype(np.uint8).tobytes(), [7] * minhash.BANDS, sketch)
-
-    for _ in range(3000):
-        s = np.unique(rng.integers(0, 1 << 63, 4).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        (x, a), (y, b) = row(2, s), row(3, np.delete(s, 1))
-        if (x == y).sum() >= minhash.AGREE - 5:
-            continue
-        tried += 1
-        unlike = row(4, np.unique(rng.integers(0, 1 << 63, 4).astype(np.uint64)))[1]
-        long_ = [row(n, np.arange(1, 500, dtype=np.uint64) << np.uint64(55))[1] for n in (5, 6)]
-        names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "sig", "bands", "sketch"]
-        batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(a, b, unlike, *long_, strict=True)], names)
-        got = [tuple(r.values()) for out in minhash._compare(75)([batch]) for r in out.to_pylist()]
-        assert sorted(got) == [(2, 3), (5, 6)]
-    assert tried
+def tile_row(node, s):
+    return (1, 0, 0, 0, node, node, 0, 1, [7] * minhash.BANDS, minhash.sketch(s))
+
+
+def compared(rows):
+    names = ["key", "i", "j", "tile", "node", "comp", "band", "centre", "bands", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names)
+    return sorted(tuple(r.values()) for out in minhash._compare(75)([batch]) for r in out.to_pylist())
+
+
+def test_tiles_lose_no_pair_of_any_length():
+    """All pairs of a tile, of sets from 1 to 3000 shingles on both sides of the threshold and of SKETCH."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    sets = []
+    for n in (1, 4, 20, 395, 404, 420, 536, 900, 3000):
+        whole = draw(n)
+        sets.append(whole)
+        for share in (0.70, 0.75, 0.76, 0.80, 0.97):  # a subset's similarity is its share
+            sets.append(np.sort(rng.permutation(whole)[: max(1, -int(-share * n // 1))]))
+        other = draw(max(1, n // 7))  # as many foreign shingles in place of own ones: similarity 0.75
+        sets.append(np.union1d(rng.permutation(whole)[len(other) :], other))
+    pairs = [(a + 2, b + 2) for b in range(len(sets)) for a in range(b) if minhash.linked(sets[a], sets[b])]
+    got = compared([tile_row(n + 2, s) for n, s in enumerate(sets)])
+    assert set(pairs) <= set(got) and len(got) < len(pairs) + 60 and len(pairs) > 60
+
+
+def test_sketches():
+    big = np.zeros(70_000, np.uint64)  # a cell beyond what two bytes count
+    size, low, cells = minhash.opened(minhash.sketch(big))
+    assert size == 70_000 and not len(low) and cells[0] >= 70_000
+    for n in (0, 1, minhash.SKETCH, minhash.SKETCH + 1):
+        s = np.arange(n, dtype=np.uint64) * np.uint64(97)
+        size, low, cells = minhash.opened(minhash.sketch(s))
+        assert size == n == cells.sum() and len(low) == (n if n <= minhash.SKETCH else 0)
+        assert (cells == np.bincount((s % np.uint64(1024)).astype(int), minlength=1024)).all()
+
+
+def test_long_sets_of_one_bucket(spark, monkeypatch):
+    """Texts of 404 to 900 words around the threshold, whose centre is unlike them."""
+    monkeypatch.setattr(minhash, "TILE", 5)
+    r, rows = random.Random(4), []
+    for words in (404, 536, 900):
+        base = prose(words, words).split()
+        for k in range(8):
+            copy = list(base)
+            for at in range(3, len(copy), max(5, 38 + k)):
+                copy[at] = prose(r.random(), 1)
+            rows.append((words * 10 + k, " ".join(copy), "en", "a", 0, 7, "x", 1, "own", 2, "y"))
+    got = sorted((x.doc_id, x.component_id) for x in minhash.near_copies(frame(spark, rows)).collect())
+    assert got == sorted((d, c) for d, _, c in plain_components(rows))
 
 
 def test_shingles_lower_only_ascii():
