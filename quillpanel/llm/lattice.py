@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ FLUSH_WORDS = 300_000
 BLANK = b" "
 BASE = U(0x100000001B3)
 
-SCORES = "row long, word binary, n long, doc_id long, held_out boolean, n_tokens long, known long, base double, lat double"
+SCORES = "row binary, word binary, n long, doc_id long, held_out boolean, n_tokens long, known long, base double, lat double"
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -300,38 +301,40 @@ def frequent(vocab: DataFrame, most: int = HEAD) -> DataFrame:
 def _document_rows(shared):
     """Per text a row with what the frequent words and the end add, and a row for each other word.
 
-    The first kind has a key that begins with a blank, which no word has, so it joins with nothing.
+    The first kind has a word that begins with a blank, which no word has, so it joins with nothing.  A row's
+    key is a digest of the document, so that a task that runs again, with its input in another order, gives
+    the same rows; the partition's number is part of it, which keeps repeated rows of a large table apart.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base, lat, base_end, lat_end, end_known = shared.value
         place = {w: i for i, w in enumerate(words)}
-        row = TaskContext.get().partitionId() << 40
+        part = TaskContext.get().partitionId()
         names = [c.split()[0] for c in SCORES.split(", ")]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in slices(batches):
             out: list[list] = [[] for _ in names]
             rest_rows, rest_words, rest_n = [], [], []
             for text, held, doc in zip(utf8(column(batch, "text")), column(batch, "held_out"), column(batch, "doc_id"), strict=True):
                 found = split_words(text)
                 counts = Counter(found)
+                row = blake2b(text, digest_size=16, key=b"%d %r" % (part, doc)).digest()
                 k = np.array([place.get(w, -1) for w in counts], np.int64)
                 n = np.array(list(counts.values()), np.int64)
                 own, other = k >= 0, np.flatnonzero(k < 0)
                 if len(other):
                     keys = list(counts)
                     rest_words += [keys[i] for i in other.tolist()]
-                    rest_rows.append(np.full(len(other), row))
+                    rest_rows += [row] * len(other)
                     rest_n.append(n[other])
                 k, n = k[own], n[own]
-                values = (row, BLANK + row.to_bytes(8, "big"), 0, doc, held, len(found) + 1, int(n.sum()) + end_known, float(n @ base[k]) + base_end, float(n @ lat[k]) + lat_end)
+                values = (row, BLANK + row, 0, doc, held, len(found) + 1, int(n.sum()) + end_known, float(n @ base[k]) + base_end, float(n @ lat[k]) + lat_end)
                 for o, v in zip(out, values, strict=True):
                     o.append(v)
-                row += 1
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
             if rest_words:
                 none = [pa.nulls(len(rest_words), k) for k in kinds[3:]]
-                rest = [pa.array(np.concatenate(rest_rows)), pa.array(rest_words, pa.binary()), pa.array(np.concatenate(rest_n)), *none]
+                rest = [pa.array(rest_rows, pa.binary()), pa.array(rest_words, pa.binary()), pa.array(np.concatenate(rest_n)), *none]
                 yield pa.RecordBatch.from_arrays(rest, names)
 
     return run
@@ -378,8 +381,12 @@ def score(docs: DataFrame, vocabulary_path: str, iterations: int = ITERATIONS, h
         F.sum(F.coalesce("known", per_word((F.col("c") > 0).cast("long")))).alias("n_known"),
         F.sum(F.coalesce("base", per_word(F.log10((F.col("c") + 0.5) / F.lit(float(room)))))).alias("base_score"),
         F.sum(F.coalesce("lat", per_word(F.col("lp")))).alias("score"),
+        F.count("n_tokens").alias("times"),  # rows that repeat doc_id and text are one sum, taken so often
     )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    each = lambda c: F.when(F.col("times") == 1, F.col(c)).otherwise(F.col(c) / F.col("times")).alias(c)
+    one = sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"), each("base_score"), each("score"), "times")
+    rows = one.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def column_of(t: pa.Table, name: str) -> list:
