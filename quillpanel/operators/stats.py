@@ -71,6 +71,13 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return moments.join(F.broadcast(quartiles), "metric", "left")  # one row per column
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two columns, NULL where one is constant on the common rows (Spark's own ``corr`` then fails)."""
+    there, back = F.regr_slope(y, x), F.regr_slope(x, y)
+    r = not_nan(F.signum(there) * F.sqrt(there * back))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], lower_only: bool = True) -> DataFrame:
     """Pairwise-complete Pearson correlations as (x, y, corr) in one pass.
 
@@ -81,7 +88,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], lower_only: bool = Tru
     pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
     entries = []
     for b, a in pairs:
-        r = not_nan(F.corr(a, b))
+        r = pearson(a, b)
         entries.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("corr")))
         if a != b and not lower_only:
             entries.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), r.alias("corr")))
@@ -92,7 +99,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], lower_only: bool = Tru
 def correlation_with(df: DataFrame, target: str, columns: list[str], top: int | None = 10) -> DataFrame:
     """Correlation of each column with the target, highest first, the target left out."""
     rows = [
-        F.struct(F.lit(c).alias("metric"), not_nan(F.corr(target, c)).alias("corr")) for c in columns if c != target
+        F.struct(F.lit(c).alias("metric"), pearson(target, c).alias("corr")) for c in columns if c != target
     ]
     found = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     found = found.orderBy(F.col("corr").desc_nulls_last(), "metric")

@@ -108,6 +108,8 @@ add("ingest_status", NATION, union([
 add("long_ingest", NATION, f" select cast(entity as varchar) as country_code, period as year, {T8}, {r('growth_pct')} from n where period between 1996 and 2001")
 add("csv_round_trip", NATION, f" select entity, period, {T8}, {REST_N} from n")
 add("partitioned_round_trip", NATION, f" select entity, period, {T8}, {REST_N} from n where period between 1997 and 1999")
+add("published_periods", NATION, f""" select entity, period, {T8},
+  {r('base * case when period in (1997, 1999) then 2 else 1 end', 6, 'base')} from n""")
 add("matrix_round_trip", NATION, union([
     f""" select '{x}' as x, {", ".join(r(f"corr({x}, {y})", 6, y) for y in METRICS[:3])} from n""" for x in METRICS[:3]]))
 
@@ -168,6 +170,11 @@ CLEAN = f""", k0 as (select * from c where entity not in (20, 21, 22, 23, 24) an
 sparse as (select entity from k0 group by entity having sum({NULLS}) / (6e0 * count(*)) > 0.5),
 kept as (select * from k0 where entity not in (select entity from sparse))""" + gap_ctes("kept", METRICS)
 add("clean_panel", CUSTOMER, CLEAN + f" select entity, period, {T8}, {REST}, {', '.join(DERIVED)} from filled")
+add("clean_panel_audited", CUSTOMER, CLEAN + f" select entity, period, {T8}, {REST}, {', '.join(DERIVED)} from filled")
+add("clean_panel_audit", CUSTOMER, CLEAN + """ select 1 as step_no, 'members' as step, (select count(*) from c) as rows_in,
+  (select count(*) from c where entity not in (20, 21, 22, 23, 24)) as rows_out
+union all select 2, 'has_target', (select count(*) from c where entity not in (20, 21, 22, 23, 24)), (select count(*) from k0)
+union all select 3, 'not_sparse', (select count(*) from k0), (select count(*) from kept)""")
 add("clean_panel_kilotons", CUSTOMER, CLEAN + f""" select entity, period, {r('target', 8, 'co2_emissions_mt')}, {r('base')}, {r('growth_pct')},
   {r('ln(1 + target)', 6, 'log_co2')} from filled""")
 
@@ -180,6 +187,11 @@ add("corr_with_target", NATION, union(
     [f" select '{m}' as metric, {r(f'corr(target, {m})', 6, 'corr')} from n" for m in METRICS[1:]]))
 add("corr_matrix", CUSTOMER, union([f" select '{a}' as x, '{b}' as y, {r(f'corr({a}, {b})', 6, 'corr')} from c"
     for i, a in enumerate(METRICS) for b in METRICS[: i + 1]]))
+add("corr_products", CUSTOMER, union([f""" select '{a}' as x, '{b}' as y, {r(f'corr({a}, {b})', 6, 'corr')},
+  count(*) filter ({a} is not null and {b} is not null) as n from c"""
+    for i, a in enumerate([*METRICS, *SECTORS]) for b in [*METRICS, *SECTORS][: i + 1]]))
+add("resolved_features", NATION, union(
+    [f" select '{m}' as metric, {r(f'corr(target, {m})', 6, 'corr')} from n" for m in [*METRICS[1:], "s_urgent"]]))
 add("period_totals", CUSTOMER, f" select period, {r('coalesce(sum(target), 0)', 8, 'total')} from c group by period")
 add("global_ratio", NATION, f""" select {r('sum(s_urgent)', 8, 'part_total')}, {r('sum(target)', 8, 'whole_total')},
   {r('sum(s_urgent) / nullif(sum(target), 0) * 100', 6, 'part_pct')} from n""")

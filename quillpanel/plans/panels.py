@@ -12,6 +12,7 @@ from quillpanel.operators.impute import gap_fill
 from quillpanel.operators.rank import top_k, union_top
 from quillpanel.operators.select import complete_cases, drop_entities, exclude_members, keep_entities, positive, snapshot
 from quillpanel.operators.stats import too_sparse, without_target
+from quillpanel.session import stage
 from quillpanel.spec import keep_existing, numeric_columns
 
 TARGET_CANDIDATES = ["co2_emissions_mt", "co2_emissions_kt", "co2_total"]
@@ -51,6 +52,39 @@ def clean_panel(
     return derived_features(gap_fill(rows, entity, period, metrics), gdp, population, target)
 
 
+def clean_with_audit(
+    df: DataFrame,
+    entity: str,
+    period: str,
+    target: str,
+    members: list,
+    max_missing: float = V.MAX_MISSING_SHARE,
+    gdp: str = "gdp_current_usd",
+    population: str = "population",
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`clean_panel`, and step_no, step, rows_in, rows_out of the same run.
+
+    Every row is stored once with the step that drops it, if one does; the cleaned panel and the counts are
+    both read from that table, so they can't differ, and a task that runs again counts nothing twice.  A
+    step judges only rows that the steps before have kept.
+    """
+    steps = ["members", "has_target", "not_sparse"]
+    member = F.coalesce(F.col(entity).isin(members), F.lit(False))
+    rows = df.withColumn("_left", F.when(member, 1).when(F.col(target).isNull(), 2))
+    metrics = numeric_columns(rows, exclude=(entity, period, "_left"))
+    sparse = too_sparse(rows.where("_left is null"), entity, metrics, max_missing).select(entity, F.lit(3).alias("_sparse"))
+    rows = rows.join(sparse, entity, "left").withColumn("_left", F.coalesce("_left", "_sparse")).drop("_sparse")
+    rows = stage(rows, "marked")
+    kept = gap_fill(rows.where("_left is null").drop("_left"), entity, period, metrics)
+    after = lambda k: F.count_if(F.col("_left").isNull() | (F.col("_left") > k))
+    counts = [
+        F.struct(F.lit(k).alias("step_no"), F.lit(name).alias("step"), after(k - 1).alias("rows_in"), after(k).alias("rows_out"))
+        for k, name in enumerate(steps, start=1)
+    ]
+    audit = rows.agg(F.array(*counts).alias("steps")).select(F.inline("steps"))
+    return derived_features(kept, gdp, population, target), audit
+
+
 def dropped_entities(df: DataFrame, entity: str, target: str) -> DataFrame:
     """Entities the cleaning drops for having no target at all."""
     return without_target(df, entity, target).select(entity)

@@ -16,7 +16,7 @@ from quillpanel import fixed_values as V
 from quillpanel.functions import classes, numeric, text
 from quillpanel.functions.numeric import tidy
 from quillpanel.models import linear, logistic, metrics, splits, trees
-from quillpanel.operators import assembly, impute, ordered, outcome, rank, scenario, segment, select, stats
+from quillpanel.operators import assembly, correlation, impute, ordered, outcome, rank, scenario, segment, select, stats
 from quillpanel.plans import panels
 from quillpanel.session import new_path, stage
 from quillpanel.sources import files
@@ -28,7 +28,7 @@ from quillpanel.sources.tables import (
     nation_panel,
     table,
 )
-from quillpanel.spec import PanelSpec
+from quillpanel.spec import FeatureSpec, PanelSpec, numeric_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,6 +241,16 @@ def partitioned_round_trip(spark, d):
     return out(rows, entity=None, period=None, **metric_digits(NATION_METRICS))
 
 
+@query
+def published_periods(spark, d):
+    """A panel published whole, then two of its periods again with other amounts."""
+    panel = stage(nation_panel(spark, d).select(*KEYS, "target", "base"), "nation")
+    path = new_path(spark, "published")
+    files.publish_periods(panel, path, "period", "entity")
+    files.publish_periods(panel.where("period in (1997, 1999)").withColumn("base", F.col("base") * 2), path, "period", "entity")
+    return out(spark.read.parquet(path), entity=None, period=None, target=8, base=6)
+
+
 @query
 def matrix_round_trip(spark, d):
     columns = ["target", "base", "population"]
@@ -339,6 +349,26 @@ def clean_panel(spark, d):
     )
 
 
+def _audited(spark, d):
+    panel = customer_panel(spark, d).select(*KEYS, *METRICS)
+    return panels.clean_with_audit(panel, "entity", "period", "target", EXCLUDED, gdp="base", population="population")
+
+
+@query
+def clean_panel_audit(spark, d):
+    """Rows before and after each step of the cleaning, from the run that made the cleaned panel."""
+    return _audited(spark, d)[1]
+
+
+@query
+def clean_panel_audited(spark, d):
+    """The panel that the audited cleaning made."""
+    return out(
+        _audited(spark, d)[0], entity=None, period=None, **metric_digits(NATION_METRICS), growth_pct=6,
+        log_gdp=6, log_population=6, log_co2=6, co2_intensity=LOG,
+    )
+
+
 @query
 def clean_panel_kilotons(spark, d):
     """The cleaning of a panel whose amounts come in kilotons, which it recognises and converts."""
@@ -366,6 +396,22 @@ def corr_matrix(spark, d):
     return out(stats.correlation_matrix(customer_panel(spark, d), METRICS), x=None, y=None, corr=6)
 
 
+@query
+def corr_products(spark, d):
+    """Correlations of all numeric columns by products of column sets."""
+    found = correlation.correlation_products(customer_panel(spark, d), [*METRICS, *SECTORS])
+    return out(found, x=None, y=None, corr=6, n=None)
+
+
+@query
+def resolved_features(spark, d):
+    """Correlation with the target of the features left by exclusion, sector columns out but for one."""
+    panel = nation_panel(spark, d)
+    spec = FeatureSpec(exclude=(*KEYS, "target"), exclude_prefix="s_", extra=("s_urgent", "absent"))
+    features = [c for c in spec.resolve(panel) if c in numeric_columns(panel, exclude=tuple(KEYS))]
+    return out(stats.correlation_with(panel, "target", features, top=None), metric=None, corr=6)
+
+
 @query
 def period_totals(spark, d):
     return out(stats.period_totals(customer_panel(spark, d), "period", "target"), period=None, total=8)

@@ -191,6 +191,17 @@ def write_panel(df: DataFrame, path: str, fmt: str = "parquet", period: str | No
     writer.save(path)
 
 
+def publish_periods(df: DataFrame, path: str, period: str, entity: str) -> None:
+    """Replace the periods that ``df`` holds in a parquet panel laid out by period; other periods' files stay as they are.
+
+    Rows are dealt by ranges of (period, entity), so that a period with many rows is written by many tasks
+    and files are sorted by entity.  All files are written aside first; a period's folder is switched when
+    the job commits, and a job that fails before leaves the panel as it was.
+    """
+    rows = df.repartitionByRange(period, entity).sortWithinPartitions(period, entity)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
+
+
 def write_matrix(long: DataFrame, path: str, labels: list[str], row: str = "x", column: str = "y", value: str = "corr") -> None:
     """Long matrix as a wide CSV with the row label in the first column."""
     wide = long.groupBy(row).pivot(column, labels).agg(F.first(value)).orderBy(row)
