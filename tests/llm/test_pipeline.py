@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 from functools import cache
+from statistics import NormalDist
 
 import corpus_pipeline
 import numpy as np
@@ -42,8 +43,13 @@ def plain_kept(spark, docs, labels):
         if not t and score[d] is not None:
             for key in (("lang", rows[d].lang), "every"):
                 worst.setdefault(key, []).append(score[d])
-    assert all(len(v) < 200 for v in worst.values())  # so few that the limit is the largest, widened
-    limit = {k: math.ceil(max(v) * 1000) / 1000 + math.log10(kneser_ney.SLACK) for k, v in worst.items()}
+    assert all(len(v) < 200 for v in worst.values())  # so few that the quantile is the largest
+    z = NormalDist().inv_cdf(0.995)
+    limit = {}
+    for k, v in worst.items():
+        bins = np.ceil(np.array(v) * 1000)
+        error = bins.std() * math.sqrt(0.995 * 0.005 / len(v)) / NormalDist().pdf(z)
+        limit[k] = (bins.max() + 1.96 * error) / 1000
     return {d for d, x in score.items() if x is not None and x <= limit.get(("lang", rows[d].lang), limit["every"])}
 
 
