@@ -7,9 +7,28 @@ import types
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
+#: Rows and bytes of the batches that executors send to Python workers: each is held on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def amount(setting: str) -> int:
+    """A setting's number, with a unit of bytes such as ``64m`` or ``8kb`` or without one."""
+    digits = setting.strip().lower().rstrip("bkmgtpi")
+    unit = setting.strip().lower()[len(digits) :][:1]
+    return int(digits) << 10 * "bkmgtp".index(unit or "b")
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session sends Python workers no larger batches than BATCH from now on; a smaller setting stays."""
+    conf = docs.sparkSession.conf
+    for name, most in BATCH.items():
+        if not 0 < amount(conf.get(name)) <= most:
+            conf.set(name, str(most))
+    return docs
 
 
 def worker_tables() -> dict:
@@ -25,6 +44,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, most: int
     tables = worker_tables()
     for name in [k for k in tables if isinstance(k, tuple) and k[0] != keep]:
         del tables[name]
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         at = 0
         while at < batch.num_rows:

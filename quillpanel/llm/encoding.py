@@ -72,7 +72,8 @@ class WordEncoder:
         word = raw.decode()
         core = word[:-1] if word[-1] in ".,;:!?" else word
         if core.isalpha() and (core.isascii() or max(core) <= "\xff"):  # letters alone are one piece
-            ids = self._unit(core.lower().encode())
+            low = core.lower().encode()
+            ids = self._unit(raw if low == raw else low)  # one key object for both tables
             return ids if core is word else ids + self._unit(raw[-1:])
         if "<|" not in word and self.plain(word):
             return b"".join([self._unit(u.encode()) for u in self.split(word.lower())])

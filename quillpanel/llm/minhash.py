@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillpanel.llm.batches import column, slices, unused, utf8
+from quillpanel.llm.batches import column, in_batches, slices, unused, utf8
 from quillpanel.llm.components import components
 from quillpanel.llm.words import mixed, shingle_sets, space_table
 from quillpanel.session import stage
@@ -273,7 +273,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = stage(docs.mapInArrow(_signatures, SETS), "sets")
+    sets = stage(in_batches(docs).mapInArrow(_signatures, SETS), "sets")
     digest = ["d1", "d2", "n_shingles"]
     groups = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("node"))
     groups = stage(groups, "groups")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillpanel.llm.batches import column, slices, utf8
+from quillpanel.llm.batches import column, in_batches, slices, utf8
 from quillpanel.llm.encoding import ENCODER, END_ID, worker_encoder
 from quillpanel.session import stage
 
@@ -225,7 +225,7 @@ def pack(
     """
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     pieces = stage(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        in_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
             _packer(tokenizer, end_id, window, block_tokens, keep_ids), schema
         ),
         "pieces",

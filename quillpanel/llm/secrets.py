@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from quillpanel.llm.batches import column, slices
+from quillpanel.llm.batches import column, in_batches, slices
 
 # Kinds in the order in which spans of one start are listed, and the base patterns.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
@@ -324,7 +324,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     Offsets are code points, end exclusive.  A null or empty text has no spans; repeated rows are
     scanned each; an empty table gives an empty table; other columns are ignored.
     """
-    out = docs.select("doc_id", "text")
+    out = in_batches(docs).select("doc_id", "text")
     return out.mapInArrow(_scan(False), StructType([out.schema["doc_id"], StructField("spans", SPANS)]))
 
 
@@ -335,7 +335,7 @@ def redact_secrets(docs: DataFrame, length: str | None = "n_chars") -> DataFrame
     empty text stays as it is; an empty table gives an empty one.
     """
     names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # a scan can't take every name
-    plain = docs.toDF(*names)
+    plain = in_batches(docs).toDF(*names)
     out = plain.mapInArrow(_scan(True), StructType([*plain.schema, StructField("spans", SPANS)]))
     if length and length in docs.columns:
         own = names[docs.columns.index(length)]

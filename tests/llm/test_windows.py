@@ -98,3 +98,17 @@ def test_any_column_names(spark, rows):
         for r in out.collect():
             assert [r[c] for c in ODD] == list(range(len(ODD))) and r["nested"]["a-b"] == 1
     assert {name for name, _ in corpus_pipeline.STAGES} == {"quality", "near_copies", "secrets", "mixing", "packing"}
+
+
+def test_batches_get_smaller_only(spark):
+    assert [batches.amount(x) for x in ("-1", "7", "9b", "8kb", "64m", "2G", "1MiB")] == [-1, 7, 9, 8 << 10, 64 << 20, 2 << 30, 1 << 20]
+    docs, rows = frame(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        for own, then in (("10000", "1000"), ("0", "1000"), ("3", "3")):
+            spark.conf.set(rows, own)
+            assert batches.in_batches(docs) is docs and spark.conf.get(rows) == then
+        found = secrets.find_secrets(docs).count()  # three rows a batch
+        assert found == docs.count()
+    finally:
+        spark.conf.set(rows, before)
