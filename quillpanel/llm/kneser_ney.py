@@ -1,13 +1,13 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams.
 
-The model is trained on trusted text: documents labelled good.  Counts, continuation counts, discounts
+The model is trained on trusted text: documents labelled good.  Every one of them is used: a hash of doc_id
+deals them into two halves, one is counted whole, the other sets the limits.  Counts, continuation counts, discounts
 and context masses are grouped and joined by n-gram, so every table is dealt over the shuffle's shards
 by the n-gram's own bytes; no table is gathered while fitting.  The fitted table has one row per n-gram
 seen, with its interpolated probability and the weight its context hands to shorter ones.
 
-A document's perplexity takes a lookup per byte.  The sample that trains the model is bounded, so the
-table is; while it has at most MOST_ROWS rows, each task joins its documents with a copy (``perplexities``).
-A larger table is joined by shuffles over n-grams counted per document (``joined_perplexities``).  Both
+A document's perplexity takes a lookup per byte.  While the table has at most MOST_ROWS rows, each task
+joins its documents with a copy (``perplexities``).  A larger table is joined by shuffles over n-grams counted per document (``joined_perplexities``).  Both
 add the same whole numbers, logarithms in units of 1 / UNITS, so they and any repeated task agree to the
 last bit.  Documents whose perplexity exceeds the quantile of their language's trusted documents that did
 not train the model, by more than that quantile's own uncertainty, are rejected.
@@ -30,8 +30,8 @@ from quillpanel.llm.words import U, mixed
 from quillpanel.session import stage
 
 ORDER = 5
-#: Bound of the training sample, in documents per language.
-SAMPLE_TEXTS = 1500
+#: Bound of the training half, in documents per language; None: the whole half.
+SAMPLE_TEXTS = None
 #: A document is rejected above this quantile of trusted ones of its language.
 QUANTILE = 0.995
 #: Standard errors of the quantile that a limit lies above it: its upper confidence limit at 97.5 per cent.
@@ -40,7 +40,7 @@ ERRORS = 1.96
 UNITS = 1 << 20
 #: Largest model that tasks hold a copy of: 12 bytes a row, at most half full.
 MOST_ROWS = 4_000_000
-#: Largest sample whose ids are sent to every executor.
+#: Most training documents whose ids are sent to every executor.
 MOST_SAMPLED = 200_000
 BINS_PER_DECADE = 1000
 #: Bytes of text that are taken apart at once.
@@ -114,15 +114,21 @@ def _counted(order: int):
     return run
 
 
-def sampled(trusted: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """``trusted`` (doc_id, lang, text) with ``trains``: whether a row is in the sample; at most half of a language is.
+def _place() -> Column:
+    """A hash of doc_id, from 0 up to 1; trusted rows below 0.5 may train."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
 
-    Rows are chosen by a hash of doc_id, about ``texts`` per language; the others set the thresholds.
+
+def sampled(trusted: DataFrame, texts: int | None = SAMPLE_TEXTS) -> DataFrame:
+    """``trusted`` (doc_id, lang, text) with ``trains``: whether a row trains the model; the others set the thresholds.
+
+    Rows are dealt by a hash of doc_id: half of them train, or about ``texts`` per language if that is fewer.
     """
+    if texts is None:
+        return trusted.withColumn("trains", _place() < 0.5)
     sizes = trusted.groupBy("lang").agg(F.least(F.lit(0.5), texts / F.count(F.lit(1))).alias("_part"))
     sizes = sizes.withColumnRenamed("lang", "_lang")
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(SEED)), F.lit(1 << 20)) / (1 << 20)
-    joined = trusted.join(sizes, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("trains", place < F.col("_part"))
+    joined = trusted.join(sizes, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("trains", _place() < F.col("_part"))
     return joined.drop("_lang", "_part")
 
 
@@ -356,18 +362,19 @@ def _log10_perplexity() -> Column:
     return -F.col("log10_prob") / F.col("n_tokens")
 
 
-def trained(docs: DataFrame, good: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """The model of a sample of ``docs`` (doc_id, lang, text) whose doc_ids are in ``good`` (_good)."""
+def trained(docs: DataFrame, good: DataFrame, texts: int | None = SAMPLE_TEXTS) -> DataFrame:
+    """The model of the training half of ``docs`` (doc_id, lang, text) whose doc_ids are in ``good`` (_good)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where("text is not null")
     trusted = docs.select("doc_id", "lang").join(good, F.col("doc_id") == F.col("_good"), "left_semi")
-    chosen = stage(sampled(trusted, texts).where("trains").select(F.col("doc_id").alias("_good")).distinct(), "sample")
+    chosen = stage(sampled(trusted, texts).where("trains").select(F.col("doc_id").alias("_good")).distinct(), "training")
     if chosen.count() <= MOST_SAMPLED:  # then the texts need not move to meet it
         chosen = F.broadcast(chosen)
+    docs = docs.where(_place() < 0.5)  # no text of the other half moves
     return fit(docs.join(chosen, F.col("doc_id") == F.col("_good"), "left_semi").select("text"))
 
 
-def limited(scores: DataFrame, good: DataFrame, texts: int, quantile: float, errors: float) -> DataFrame:
-    """``scores`` with perplexity, threshold and kept, by the trusted rows outside the sample."""
+def limited(scores: DataFrame, good: DataFrame, texts: int | None, quantile: float, errors: float) -> DataFrame:
+    """``scores`` with perplexity, threshold and kept, by the trusted rows that did not train the model."""
     plain = scores.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "n_tokens", "log10_prob")
     judged = sampled(plain.join(good, F.col("doc_id") == F.col("_good"), "left_semi"), texts).where("not trains")
     limits = stage(thresholds(judged, quantile, errors), "limits")
@@ -391,11 +398,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_good")).distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, quantile: float = QUANTILE, errors: float = ERRORS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, texts: int | None = SAMPLE_TEXTS, quantile: float = QUANTILE, errors: float = ERRORS) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept for each row of ``docs`` (doc_id, lang, text).
 
     ``labels`` (doc_id, quality) names the trusted documents by quality 1.  A text without a byte has no
-    perplexity and is rejected.  A language, or null, without trusted documents outside the sample takes
+    perplexity and is rejected.  A language, or null, without trusted documents that did not train takes
     the limit of all languages; without any trusted document nothing but empty texts is rejected.  Rows
     are judged each, ties at the limit are kept; an empty table gives an empty result; other columns are
     ignored.
@@ -405,7 +412,7 @@ def classify(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, quan
     return limited(scores, good, texts, quantile, errors).select("doc_id", "lang", "n_tokens", "log10_prob", "perplexity", "threshold", "kept")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, quantile: float = QUANTILE, errors: float = ERRORS) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, texts: int | None = SAMPLE_TEXTS, quantile: float = QUANTILE, errors: float = ERRORS) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their columns as they are, whatever their names."""
     good = trusted_ids(labels)
     first = ("doc_id", "lang", "text")

@@ -148,3 +148,10 @@ def test_lookup():
     table = kn.Lookup(keys[::2], np.arange(len(keys[::2]), dtype=np.float32))
     found, value = table(keys)
     assert found[::2].all() and not found[1::2].any() and (value[::2] == np.arange(len(keys[::2]))).all()
+
+
+def test_every_trusted_document_trains_or_judges(spark):
+    """The training half grows with the rows; there is no bound of documents per language."""
+    trusted = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    counts = {r.trains: r["count"] for r in kn.sampled(trusted).groupBy("trains").count().collect()}
+    assert sum(counts.values()) == 20000 and abs(counts[True] - 10000) < 400
