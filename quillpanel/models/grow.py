@@ -34,6 +34,8 @@ LOCAL_ROWS = 200_000
 LEVEL_BYTES = 1 << 20
 #: Rounds of boosting whose trees tasks apply to the stored margins.
 KEPT_ROUNDS = 10
+#: Deepest trees that rows go through by the masks of all their nodes.
+MASK_DEPTH = 5
 
 BLOCK = "block long, n int, x binary, y binary, w binary, fold binary, margin binary"
 #: Poisson counts of mean 1, by a 16-bit number.
@@ -225,12 +227,46 @@ class Trees:
             at = np.where(inner, 2 * at + 1 + right, at).astype(np.int32)
         return at
 
-    def values(self, t: int, x: np.ndarray) -> np.ndarray:
-        return self.value[t][self.places(t, x, self.feature.shape[1].bit_length())]
+    def reached(self, t: int, x: np.ndarray, levels: int) -> np.ndarray:
+        """As :meth:`places`, but counted from the level's first node, and below a leaf rows go on to the left.
 
+        A comparison of all rows for each node and bitwise choices between them: a few passes over bytes.
+        """
+        feature, cut = self.feature[t], self.cut[t]
+        at, gone = np.zeros(x.shape[1], np.uint8), []
+        for level in range(levels):
+            layer = [x[feature[i]] > cut[i] if feature[i] >= 0 else None for i in range((1 << level) - 1, (2 << level) - 1)]
+            for right in reversed(gone):
+                layer = [_chosen(right, *pair) for pair in zip(layer[::2], layer[1::2], strict=True)]
+            at <<= 1
+            if layer[0] is not None:
+                at |= layer[0]
+            gone.append(layer[0])
+        return at
 
-def level_sums(x: np.ndarray, slot: np.ndarray, slots: int, count: np.ndarray | None, w: np.ndarray, wy: np.ndarray, bins: int) -> np.ndarray:
-    """(statistic, slot, feature, bin): numbers of rows, weights and weighted targets; ``count`` None is one a row."""
+    def values(self, t: int, x: np.ndarray) -> np.ndarray:
+        depth = self.feature.shape[1].bit_length() - 1
+        if depth > MASK_DEPTH:
+            return self.value[t][self.places(t, x, depth + 1)]
+        ends = self.value[t, :1]
+        for level in range(depth):
+            nodes = slice((1 << level) - 1, (2 << level) - 1)
+            children = self.value[t, nodes.stop : 2 * nodes.stop + 1].reshape(-1, 2)
+            ends = np.where(self.feature[t, nodes, None] >= 0, children, ends[:, None]).reshape(-1)
+        return ends[self.reached(t, x, depth)]
+
+
+def _chosen(right: np.ndarray | None, low: np.ndarray | None, high: np.ndarray | None) -> np.ndarray | None:
+    """``high`` where ``right``, else ``low``; None is False everywhere."""
+    if right is None:
+        return low
+    if high is None:
+        return low if low is None else low & ~right
+    return right & high if low is None else low ^ (right & (low ^ high))
+
+
+def level_sums(x: np.ndarray, slot: np.ndarray, slots: int, count: np.ndarray | None, w: np.ndarray | None, wy: np.ndarray, bins: int) -> np.ndarray:
+    """(statistic, slot, feature, bin): numbers of rows, weights and weighted targets; None is one a row."""
     out = np.zeros((3, slots, len(x), bins))
     base = slot.astype(np.int64) * bins
     for f in range(len(x)):
@@ -541,22 +577,22 @@ class Boosted:
             for row in _rows(batches):
                 b = _Block(row, groups, n_features)
                 for g in range(groups):
-                    rows = np.flatnonzero(b.fold != g)
-                    if not len(rows) or not len(open_[g]):
+                    if not len(open_[g]):
                         continue
-                    x = np.ascontiguousarray(b.x[g][:, rows])
-                    slot_of = np.full(model.feature.shape[1], -1, np.int64)
-                    slot_of[open_[g]] = np.arange(len(open_[g]))
-                    slot = slot_of[model.places(g * kept + kept - 1, x, level)]
-                    margin = b.margin[g][rows].copy()
+                    slot_of = np.full(1 << level, -1, np.int64)
+                    slot_of[open_[g] - (1 << level) + 1] = np.arange(len(open_[g]))
+                    x = b.x[g]
+                    slot = slot_of[model.reached(g * kept + kept - 1, x, level)]
+                    mine = np.flatnonzero((slot >= 0) & (b.fold != g))
+                    if not len(mine):
+                        continue
+                    margin = b.margin[g].copy()
                     for i, step in enumerate(self._steps(stored, m)):
                         margin += step * model.values(g * kept + i, x)
-                    sign = 2.0 * b.y[rows] - 1.0
-                    left = sign if m == 0 else 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin))
-                    mine = slot >= 0
-                    x, slot, left = np.ascontiguousarray(x[:, mine]), slot[mine], left[mine]
-                    ones = np.ones(len(left))
-                    total[g] = total.get(g, 0.0) + level_sums(x, slot, len(open_[g]), ones, ones, left, bins)
+                    sign = 2.0 * b.y[mine] - 1.0
+                    left = sign if m == 0 else 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin[mine]))
+                    sums = level_sums([v[mine] for v in x], slot[mine], len(open_[g]), None, None, left, bins)
+                    total[g] = total.get(g, 0.0) + sums
             for g, sums in total.items():
                 yield _batch(LEVEL, [g], [part], [sums.tobytes()])
 

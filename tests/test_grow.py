@@ -55,3 +55,20 @@ def test_cuts_are_exact_quantiles(spark):
     ordered, values = np.sort(x), np.unique(x)
     low = np.unique([ordered[-(-j * 5000 // 32) - 1] for j in range(1, 32)])
     np.testing.assert_allclose(got, [(v + values[np.searchsorted(values, v) + 1]) / 2 for v in low])
+
+
+def test_shallow_trees_take_no_gather_per_level(monkeypatch):
+    """Values by masks are those at the nodes that rows come to one by one, also below early leaves."""
+    rng = np.random.default_rng(7)
+    model, x = grow.Trees.empty(6, 4), rng.integers(0, 9, (3, 500)).astype(np.uint8)
+    for t in range(6):
+        model.value[t] = rng.normal(size=31)
+        for node in range(15):  # a leaf's children stay leaves
+            if (node == 0 and t) or (node and model.feature[t, (node - 1) // 2] >= 0 and rng.random() < 0.7):
+                model.feature[t, node], model.cut[t, node] = rng.integers(0, 3), rng.integers(0, 8)
+    by_node = [model.value[t][model.places(t, x, 5)] for t in range(6)]
+    inner = [(model.feature[t][model.places(t, x, 3)] >= 0, model.places(t, x, 3) - 7) for t in range(6)]
+    monkeypatch.setattr(grow.Trees, "places", None)
+    for t in range(6):
+        assert (model.values(t, x) == by_node[t]).all()
+        assert (model.reached(t, x, 3)[inner[t][0]] == inner[t][1][inner[t][0]]).all()
