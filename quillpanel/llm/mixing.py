@@ -180,7 +180,8 @@ def drawn_blocks(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHAR
     """How often the mix takes each block: k, block, times; blocks not drawn are absent."""
     number = F.row_number().over(W.orderBy("k")).cast("long")  # a row per source
     wanted = stage(wanted_slots(targets, block).where("wanted > 0").withColumn("own", F.col("k")).withColumn("k", number), "wanted")
-    counts = shard_counts(wanted, shard_slots, seed)
+    # stored, as running sums read it twice: the driver plans a stored table, not all that leads to it, each time
+    counts = stage(shard_counts(wanted, shard_slots, seed), "counts")
     names = wanted.select(F.col("k").alias("no"), F.col("own").alias("k"), "n_blocks")
     counts = counts.withColumnRenamed("k", "no").join(names, "no").select("k", "n_blocks", "chunk", "shard", "count")
     counts = sums_before(counts, ["k", "n_blocks"], "chunk", [F.col("shard")], "count", "first")
@@ -206,10 +207,11 @@ def stream_places(rows: DataFrame) -> DataFrame:
     known, doc = F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     rows = rows.select("*", F.pmod(doc, buckets).alias("bucket"), known.alias("known"), doc.alias("doc"))
     entry = ["k", "bucket", "known", "doc", "size"]
-    entries = rows.groupBy(*entry).agg(F.count(F.lit(1)).alias("copies"))
+    # entries and places are stored, as each is read more than once: see drawn_blocks
+    entries = stage(rows.groupBy(*entry).agg(F.count(F.lit(1)).alias("copies")), "entries")
     order = [F.col("known"), F.col("doc"), F.col("size")]
     entries = sums_before(entries.withColumn("words", F.col("size") * F.col("copies")), ["k"], "bucket", order, "words", "begin")
-    placed = rows.join(entries.select(*entry, "copies", "begin"), entry)
+    placed = stage(rows.join(entries.select(*entry, "copies", "begin"), entry), "placed")
     out = ["row", "doc_id", "size", "k", "begin"]
     again = placed.where("copies > 1").withColumn("part", F.shiftright("row", 33))
     again = sums_before(again, [*entry, "begin"], "part", [F.col("row")], "size", "ahead")

@@ -97,3 +97,10 @@ def test_mixed_documents(spark):
         assert set(r.text.split()) <= set(text[r.doc_id].split())
     assert seen == {d: n for d, n in plan.items() if n}
     assert mixing.mixed_documents(empty(spark)).count() == 0
+
+
+def test_shared_steps_are_planned_once(spark, sf_dir):
+    """Steps that several branches read are stored: the plan that the driver holds stays small."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for out in (mixing.mixed_documents(docs), mixing.mix(docs)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 25
