@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillpanel.llm.batches import column, in_batches, slices, utf8
-from quillpanel.llm.encoding import ENCODER, END_ID, worker_encoder
+from quillpanel.llm.batches import column, in_batches, slices
+from quillpanel.llm.encoding import ENCODED_BYTES, ENCODED_ROWS, ENCODER, END_ID, worker_encoder
 from quillpanel.session import stage
 
 WINDOW = 2048
@@ -193,9 +193,10 @@ def _packer(path: str, end_id: int, window: int, block_tokens: int, keep_ids: bo
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in slices(batches, keep=ENCODER):
-            for doc, text in zip(column(batch, "doc_id"), utf8(column(batch, "text")), strict=True):
-                ids = encoder.encode(text) + end
+        for batch in slices(batches, ENCODED_ROWS, ENCODED_BYTES, keep=ENCODER):
+            every, at = encoder.encode_all(batch.column(batch.schema.get_field_index("text")))
+            for doc, a, b in zip(column(batch, "doc_id"), at[:-1], at[1:], strict=True):
+                ids = every[a:b].astype("<u4").tobytes() + end
                 block.append((doc, ids))
                 tokens += len(ids) // 4
                 if tokens >= block_tokens:

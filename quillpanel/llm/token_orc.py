@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillpanel.llm.batches import column, slices, utf8
-from quillpanel.llm.encoding import ENCODER, END_ID, worker_encoder
+from quillpanel.llm.batches import slices
+from quillpanel.llm.encoding import ENCODED_BYTES, ENCODED_ROWS, ENCODER, END_ID, worker_encoder
 from quillpanel.session import new_path
 
 STRIPE_BYTES = 32 << 20
@@ -31,12 +31,11 @@ FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<
 def _encoder(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = worker_encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, keep=ENCODER):
-            ids = [encoder.encode(t) + end for t in utf8(column(batch, "text"))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+        for batch in slices(batches, ENCODED_ROWS, ENCODED_BYTES, keep=ENCODER):
+            ids, at = encoder.encode_all(batch.column(batch.schema.get_field_index("text")))
+            n = np.diff(at) + 1
             before = np.concatenate([[0], np.cumsum(n)])
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            values = pa.array(np.insert(ids, at[1:], end_id).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
