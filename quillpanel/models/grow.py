@@ -34,7 +34,7 @@ LOCAL_ROWS = 200_000
 LEVEL_BYTES = 1 << 20
 #: Rounds of boosting whose trees tasks apply to the stored margins.
 KEPT_ROUNDS = 10
-#: Deepest trees that rows go through by the masks of all their nodes.
+#: Levels of a tree that rows go through by the masks of all their nodes.
 MASK_DEPTH = 5
 
 BLOCK = "block long, n int, x binary, y binary, w binary, fold binary, margin binary"
@@ -213,19 +213,35 @@ class Trees:
         size = (1 << depth + 1) - 1
         return cls(np.full((n, size), -1, np.int8), np.zeros((n, size), np.uint8), np.zeros((n, size)))
 
+    @property
+    def depth(self) -> int:
+        return self.feature.shape[1].bit_length() - 1
+
     def places(self, t: int, x: np.ndarray, levels: int) -> np.ndarray:
-        """The node that each row of ``x`` (features, rows) has come to after ``levels``."""
-        n = x.shape[1]
-        at, row, flat = np.zeros(n, np.int32), np.arange(n), x.reshape(-1)
+        """The node that each row of ``x`` (features, rows) has come to after ``levels``.
+
+        Masks take rows through the first levels, which have few nodes, and a gather a level through the rest.
+        """
+        n, top = x.shape[1], min(levels, self.depth, MASK_DEPTH)
         feature, cut = self.feature[t], self.cut[t]
-        for _ in range(levels):
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
+        inner = feature >= 0
+        at = self._ends(t, top, np.arange(len(feature)))[self.reached(t, x, top)]
+        row, flat, begin = np.arange(n), x.reshape(-1), np.maximum(feature, 0).astype(np.int64) * n
+        for _ in range(top, levels):
+            go = inner[at]
+            if not go.any():
                 break
-            right = flat[np.maximum(f, 0).astype(np.int64) * n + row] > cut[at]
-            at = np.where(inner, 2 * at + 1 + right, at).astype(np.int32)
-        return at
+            at = np.where(go, 2 * at + 1 + (flat[begin[at] + row] > cut[at]), at)
+        return at.astype(np.int32)
+
+    def _ends(self, t: int, levels: int, of_node: np.ndarray) -> np.ndarray:
+        """``of_node`` by place in a level of :meth:`reached`: the node's there, or its last ancestor's."""
+        ends = of_node[:1]
+        for level in range(levels):
+            nodes = slice((1 << level) - 1, (2 << level) - 1)
+            children = of_node[nodes.stop : 2 * nodes.stop + 1].reshape(-1, 2)
+            ends = np.where(self.feature[t, nodes, None] >= 0, children, ends[:, None]).reshape(-1)
+        return ends
 
     def reached(self, t: int, x: np.ndarray, levels: int) -> np.ndarray:
         """As :meth:`places`, but counted from the level's first node, and below a leaf rows go on to the left.
@@ -245,15 +261,9 @@ class Trees:
         return at
 
     def values(self, t: int, x: np.ndarray) -> np.ndarray:
-        depth = self.feature.shape[1].bit_length() - 1
-        if depth > MASK_DEPTH:
-            return self.value[t][self.places(t, x, depth + 1)]
-        ends = self.value[t, :1]
-        for level in range(depth):
-            nodes = slice((1 << level) - 1, (2 << level) - 1)
-            children = self.value[t, nodes.stop : 2 * nodes.stop + 1].reshape(-1, 2)
-            ends = np.where(self.feature[t, nodes, None] >= 0, children, ends[:, None]).reshape(-1)
-        return ends[self.reached(t, x, depth)]
+        if self.depth > MASK_DEPTH:
+            return self.value[t][self.places(t, x, self.depth)]
+        return self._ends(t, self.depth, self.value[t])[self.reached(t, x, self.depth)]
 
 
 def _chosen(right: np.ndarray | None, low: np.ndarray | None, high: np.ndarray | None) -> np.ndarray | None:
@@ -330,9 +340,8 @@ class _Block:
             rows = np.flatnonzero(self.fold != g)
             return rows, np.ones(len(rows), np.uint8)
         random = np.random.Generator(np.random.Philox(key=np.array([seed * 1_000_003 + t, self.number], np.uint64)))
-        count = DRAWS[random.integers(0, 1 << 16, self.n, np.uint16)]
-        count = np.where(self.fold != g, count, 0).astype(np.uint8)
-        rows = np.flatnonzero(count)
+        count = np.take(DRAWS, random.integers(0, 1 << 16, self.n, np.uint16)) * (self.fold != g)
+        rows = np.flatnonzero(count != 0)
         return rows, count[rows]
 
 
@@ -415,11 +424,11 @@ class Forest:
                 total = np.zeros((3, slots, n_features, bins))
                 for b in blocks:
                     rows, count = b.drawn(self.seed, t, g, self.numTrees > 1)
-                    x = np.ascontiguousarray(b.x[g][:, rows])
+                    x = np.take(b.x[g], rows, axis=1)
                     at = model.places(t, x, level)
                     keep = (at >= first) & (state[t][at] == 1)
                     if not keep.all():
-                        x, at, rows, count = np.ascontiguousarray(x[:, keep]), at[keep], rows[keep], count[keep]
+                        x, at, rows, count = np.compress(keep, x, axis=1), at[keep], rows[keep], count[keep]
                     count = count.astype(float)
                     w = count if b.even else count * b.w[rows]
                     total += level_sums(x, at - first, slots, count, w, w * b.y[rows], bins)
@@ -450,7 +459,7 @@ class Forest:
                 for t in range(len(state)):
                     g = t // self.numTrees
                     rows, count = b.drawn(self.seed, t, g, self.numTrees > 1)
-                    x = np.ascontiguousarray(b.x[g][:, rows])
+                    x = np.take(b.x[g], rows, axis=1)
                     at = model.places(t, x, self.maxDepth)
                     mine = np.flatnonzero(state[t][at] == 2)
                     mine = mine[np.argsort(at[mine], kind="stable")]

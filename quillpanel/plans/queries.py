@@ -996,12 +996,17 @@ def forest_regression(spark, d):
 
 
 def _class_rows(spark, d):
-    """Weighted, imputed feature rows split by class; medians and scales come from the training rows."""
+    """Weighted, imputed feature rows split by class; medians and scales come from the training rows.
+
+    The test rows are left to be stored by the queries that read them.
+    """
     rows = stage(_features(customers(spark, d)), "class-rows")
-    train, test = (stage(part, "split") for part in splits.stratified_split(rows, "entity", "success"))
-    train, test = (stage(impute.fill_median(part, CLASS_FEATURES, fit_on=train), "filled") for part in (train, test))
+    train, test = splits.stratified_split(rows, "entity", "success")
+    train = stage(train, "split")
+    train, test = (impute.fill_median(part, CLASS_FEATURES, fit_on=train) for part in (train, test))
+    train = stage(train, "filled")
     train, test = (linear.standardise(part, CLASS_FEATURES, train, "_z") for part in (train, test))
-    return stage(splits.balanced_weights(train, "success"), "train"), stage(test.withColumn("weight", F.lit(1.0)), "test")
+    return stage(splits.balanced_weights(train, "success"), "train"), test.withColumn("weight", F.lit(1.0))
 
 
 def _names(model):
@@ -1018,6 +1023,7 @@ def _fit(name, train):
 
 def _evaluated(spark, d, names):
     train, test = _class_rows(spark, d)
+    test = stage(test, "test")
     frames = [
         trees.evaluate(_fit(n, train), train, test, "success").select(F.lit(i).alias("model_no"), F.lit(n).alias("model"), "*")
         for i, n in enumerate(names)
@@ -1058,6 +1064,7 @@ def _logistic(train):
 def logistic_classifier(spark, d):
     """Logistic regression by reweighted least squares on the training part, judged on both."""
     train, test = _class_rows(spark, d)
+    test = stage(test, "test")
     model = _logistic(train)
     found = trees.judged(model.score(train, "success"), model.score(test, "success"))
     named = found.select(F.lit(0).alias("model_no"), F.lit("Logistic Regression").alias("model"), "*")

@@ -72,3 +72,43 @@ def test_shallow_trees_take_no_gather_per_level(monkeypatch):
     for t in range(6):
         assert (model.values(t, x) == by_node[t]).all()
         assert (model.reached(t, x, 3)[inner[t][0]] == inner[t][1][inner[t][0]]).all()
+
+
+def test_deep_trees_take_few_gathers(monkeypatch):
+    """Masks and the gathers below them give the nodes that rows come to one by one; only levels below the masks gather."""
+    rng = np.random.default_rng(8)
+    model, x = grow.Trees.empty(8, 8), rng.integers(0, 9, (3, 700)).astype(np.uint8)
+    for t in range(8):
+        model.value[t] = rng.normal(size=511)
+        for node in range(255):
+            if (node == 0 and t) or (node and model.feature[t, (node - 1) // 2] >= 0 and rng.random() < 0.9):
+                model.feature[t, node], model.cut[t, node] = rng.integers(0, 3), rng.integers(0, 8)
+
+    def walked(t, row, levels):
+        node = 0
+        for _ in range(levels):
+            if model.feature[t, node] >= 0:
+                node = 2 * node + 1 + (row[model.feature[t, node]] > model.cut[t, node])
+        return node
+
+    gathers, where = [], np.where
+    monkeypatch.setattr(np, "where", lambda *a: (gathers.append(1) if a[0].shape == (700,) else None, where(*a))[1])
+    for t in range(8):
+        for levels in (0, 1, 5, 6, 8, 9):
+            gathers.clear()
+            got = model.places(t, x, levels)
+            assert len(gathers) <= max(0, levels - grow.MASK_DEPTH)
+            assert got.tolist() == [walked(t, row, levels) for row in x.T]
+        assert (model.values(t, x) == model.value[t][got]).all()
+
+
+def test_draws_are_those_of_the_generator():
+    """Rows outside the fold, as often as the tree's generator draws them."""
+    rng = np.random.default_rng(9)
+    n, fold = 4001, rng.integers(0, 3, 4001).astype(np.int32)
+    row = {"block": 6, "n": n, "x": bytes(n), "y": bytes(8 * n), "w": bytes(8 * n), "fold": fold.tobytes(), "margin": b""}
+    block = grow._Block(row, 1, 1)
+    random = np.random.Generator(np.random.Philox(key=np.array([3 * 1_000_003 + 11, 6], np.uint64)))
+    count = [int(grow.DRAWS[v]) if f != 1 else 0 for v, f in zip(random.integers(0, 1 << 16, n, np.uint16), fold, strict=True)]
+    rows, often = block.drawn(3, 11, 1, True)
+    assert rows.tolist() == [i for i, c in enumerate(count) if c] and often.tolist() == [c for c in count if c]
